@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from revlytics.llm.quality_classifier import op10_quality_classifier
+from revlytics.llm.quality_rules import op9_quality_rules
+from revlytics.llm.secrets import op4_secret_scan
 from revlytics.llm.sharding import op1_minimax_sharding
 
+QUERIES = (op1_minimax_sharding, op4_secret_scan, op9_quality_rules, op10_quality_classifier)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minimax_sharding,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
