@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from revlytics.llm.bpe import op7_bpe_round_trip
+from revlytics.llm.packing import op6_best_fit_packing
 from revlytics.llm.quality_classifier import op10_quality_classifier
 from revlytics.llm.quality_rules import op9_quality_rules
 from revlytics.llm.secrets import op4_secret_scan
 from revlytics.llm.sharding import op1_minimax_sharding
 
-QUERIES = (op1_minimax_sharding, op4_secret_scan, op9_quality_rules, op10_quality_classifier)
+QUERIES = (op1_minimax_sharding, op4_secret_scan, op6_best_fit_packing, op7_bpe_round_trip, op9_quality_rules, op10_quality_classifier)
 
 
 def queries() -> dict:
