@@ -9,8 +9,9 @@ from revlytics.llm.quality_rules import op9_quality_rules
 from revlytics.llm.secrets import op4_secret_scan
 from revlytics.llm.sharding import op1_minimax_sharding
 from revlytics.llm.simhash import op2_simhash_near_dedup
+from revlytics.llm.substrings import op3_suffix_dedup
 
-QUERIES = (op1_minimax_sharding, op2_simhash_near_dedup, op4_secret_scan, op6_best_fit_packing, op7_bpe_round_trip, op9_quality_rules, op10_quality_classifier)
+QUERIES = (op1_minimax_sharding, op2_simhash_near_dedup, op3_suffix_dedup, op4_secret_scan, op6_best_fit_packing, op7_bpe_round_trip, op9_quality_rules, op10_quality_classifier)
 
 
 def queries() -> dict:
