@@ -5,6 +5,7 @@ from __future__ import annotations
 from revlytics.llm.bpe import op7_bpe_round_trip
 from revlytics.llm.media import op5_media_chunks
 from revlytics.llm.packing import op6_best_fit_packing
+from revlytics.llm.pii import op8_pii_surrogates
 from revlytics.llm.quality_classifier import op10_quality_classifier
 from revlytics.llm.quality_rules import op9_quality_rules
 from revlytics.llm.secrets import op4_secret_scan
@@ -12,7 +13,7 @@ from revlytics.llm.sharding import op1_minimax_sharding
 from revlytics.llm.simhash import op2_simhash_near_dedup
 from revlytics.llm.substrings import op3_suffix_dedup
 
-QUERIES = (op1_minimax_sharding, op2_simhash_near_dedup, op3_suffix_dedup, op4_secret_scan, op5_media_chunks, op6_best_fit_packing, op7_bpe_round_trip, op9_quality_rules, op10_quality_classifier)
+QUERIES = (op1_minimax_sharding, op2_simhash_near_dedup, op3_suffix_dedup, op4_secret_scan, op5_media_chunks, op6_best_fit_packing, op7_bpe_round_trip, op8_pii_surrogates, op9_quality_rules, op10_quality_classifier)
 
 
 def queries() -> dict:
