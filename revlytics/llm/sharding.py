@@ -89,7 +89,7 @@ class _Ranges:
         cuts, at = [], 0
         for k in range(1, shards):
             left = shards - k
-            low, high = max(at, first[left]), int(np.searchsorted(before, before[at] + capacity, side="right")) - 1
+            low, high = max(min(at + 1, n), first[left]), int(np.searchsorted(before, before[at] + capacity, side="right")) - 1
             want = before[at] + (total - before[at]) / (left + 1)
             i = int(np.searchsorted(before, want))
             if i > 0 and want - before[i - 1] <= before[min(i, n)] - want:
