@@ -30,7 +30,7 @@ class Shard:
         key = np.zeros(n, np.uint64)
         for k in range(7):
             key = key << np.uint64(9) | np.where(rest > k, symbol[k : n + k], np.uint64(0))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = _ranks(key, order)
         h, longest = 7, int(size.max()) + 1 if m else 0
         while h < longest and rank[order[-1]] < n:
@@ -38,9 +38,10 @@ class Shard:
             ok = np.flatnonzero(rest >= h)
             ahead[ok] = rank[ok + h]
             key = rank.astype(np.uint64) * np.uint64(n + 1) + ahead.astype(np.uint64)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = _ranks(key, order)
             h *= 2
+        order = np.argsort(rank * n + np.arange(n))  # equal suffixes by string number
         self.string = whose[order]
         self.at = (order - (end - size)[whose[order]]).astype(np.int64)
         first = np.zeros(n, bool)
@@ -49,6 +50,9 @@ class Shard:
         before[1:] = symbol[: n - 1].astype(np.uint16)
         before[first] = 0
         self.bwt = before[order]
+        #: Where the suffix begins that is one symbol longer than each slot's.
+        self.back = np.empty(n, np.int64)
+        self.back[np.argsort(self.bwt, kind="stable")] = np.arange(n)
 
 
 def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -64,25 +68,24 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     """Slots of the merged transform in order: shard, string, position, and the block of suffixes sharing `depth` bytes."""
     if len(shards) > 256:
         raise ValueError("at most 256 shards are merged at once")
-    all_bwt = np.concatenate([s.bwt for s in shards])
-    ends = np.repeat(np.arange(len(shards)), [s.strings for s in shards]).astype(np.uint8)
-    m, n = len(ends), len(all_bwt)
-    z = np.repeat(np.arange(len(shards)), [s.n for s in shards]).astype(np.uint8)
-    block = np.zeros(n, np.int64)
+    base = np.cumsum([0, *(s.n for s in shards)])
+    n, m = int(base[-1]), sum(s.strings for s in shards)
+    symbols, bwt = np.unique(np.concatenate([s.bwt for s in shards]), return_inverse=True)
+    bwt = bwt.astype(np.uint8 if len(symbols) <= 256 else np.uint16)
+    back = np.concatenate([s.back + b for s, b in zip(shards, base)]).astype(np.int32)
+    ends = np.concatenate([np.arange(s.strings) + b for s, b in zip(shards, base)]).astype(np.int32)
+    source = np.arange(n, dtype=np.int32)  # the shards' slots, interleaved
+    block = np.zeros(n, np.int32)
     start = np.ones(n, bool)
     for _ in range(depth):
-        source = np.empty(n, np.int64)
-        source[np.argsort(z, kind="stable")] = np.arange(n)
-        c = all_bwt[source]
+        c = bwt[source]
         order = np.argsort(c, kind="stable")
         c, b = c[order], block[order]
         start[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
         start[: m + 1] = True  # sentinels never match one another
-        z = z[order]
-        z[:m] = ends
-        block = np.cumsum(start)
-    slot = np.argsort(z, kind="stable")
-    string, at = np.empty(n, np.int64), np.empty(n, np.int64)
-    string[slot] = np.concatenate([s.string for s in shards])
-    at[slot] = np.concatenate([s.at for s in shards])
-    return z, string, at, block
+        source = back[source[order]]
+        source[:m] = ends
+        block = np.cumsum(start, dtype=np.int32)
+    string = np.concatenate([s.string for s in shards])[source]
+    at = np.concatenate([s.at for s in shards])[source]
+    return (np.searchsorted(base, source, side="right") - 1).astype(np.int64), string, at, block
