@@ -152,7 +152,10 @@ def plan_patterns(histogram: dict[int, int], capacity: int = 2048, groups: int =
                 queue[at][1] -= take
                 room -= take
                 at += queue[at][1] == 0
-            dealt.append(group)
+            if dealt and dealt[-1][0][0] == group[0][0]:  # rounded up to the same length: one size of the programme
+                dealt[-1] += group
+            else:
+                dealt.append(group)
         sizes = [g[0][0] for g in dealt]
         demand = [sum(n for _, n in g) for g in dealt]
         for config, often in configurations(sizes, demand, capacity):
