@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "agg_order_priority"
+from revlytics.plans import corpus, evaluation, store  # noqa: F401
+from revlytics.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "confusion_by_split"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
