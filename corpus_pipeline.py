@@ -12,17 +12,16 @@ from pyspark.sql import functions as F
 
 from revlytics.llm.bpe import vocabulary_path
 from revlytics.llm.common import stage, table
+from revlytics.llm.jaccard import similar_groups
 from revlytics.llm.packing import pack_documents
 from revlytics.llm.quality_classifier import fit_quality, score_quality
 from revlytics.llm.secrets import redact_secrets
-from revlytics.llm.simhash import Sampled, near_duplicates
 from revlytics.llm.substrings import remove_repeats
 
 #: Score below which a document is rejected.
 LEAST_QUALITY = 0.3
-#: 256-bit fingerprints of five-word shingles. A similarity of 0.8 gives vectors 27 degrees apart, 39 differing
-#: bits in the mean with a deviation of 6: 48 bits keep nearly all such pairs, while unrelated texts differ in 128 +- 8.
-SHINGLE_WORDS, PRINT_BITS, RADIUS = 5, 256, 48
+#: Near-duplicates share 4/5 of their distinct five-word shingles (jaccard.py).
+SHINGLE_WORDS = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates (rows without an id stay)."""
-    groups = near_duplicates(docs, SHINGLE_WORDS, PRINT_BITS, RADIUS, Sampled(PRINT_BITS))
+    groups = similar_groups(docs, SHINGLE_WORDS)
     gone = groups.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -32,3 +32,16 @@ def test_stages_take_nasty_rows(spark, sf, nasty, none):
     for df in (nasty, none):
         for name, step in cp.STAGES[1:]:
             step(spark, df, sf).count()
+
+
+def kept_ids(spark, sf, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(r["doc_id"] for r in cp.near_duplicate(spark, df, sf).collect())
+
+
+def test_distinct_documents_of_one_template_stay(spark, sf):
+    # 300 shared words and 100 of their own (similarity 0.58), and one line repeated 200 times before 30 words of their own.
+    shared = " ".join(f"w{k}" for k in range(300))
+    texts = {d: shared + " " + " ".join(f"own{d}x{k}" for k in range(100)) for d in range(12)}
+    texts |= {50 + d: "all rights are reserved here " * 200 + " ".join(f"mine{d}x{k}" for k in range(30)) for d in range(6)}
+    assert kept_ids(spark, sf, texts) == sorted(texts)
