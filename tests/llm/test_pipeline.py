@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as cp
 
 
@@ -34,6 +36,21 @@ def test_stages_take_nasty_rows(spark, sf, nasty, none):
             step(spark, df, sf).count()
 
 
+def similar_by_brute_force(texts):
+    """Least id of each text's group: exact Jaccard of distinct five-word shingles, 0.8 or more, chained."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    group = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    return group
+
+
 def kept_ids(spark, sf, texts):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     return sorted(r["doc_id"] for r in cp.near_duplicate(spark, df, sf).collect())
@@ -45,3 +62,16 @@ def test_distinct_documents_of_one_template_stay(spark, sf):
     texts = {d: shared + " " + " ".join(f"own{d}x{k}" for k in range(100)) for d in range(12)}
     texts |= {50 + d: "all rights are reserved here " * 200 + " ".join(f"mine{d}x{k}" for k in range(30)) for d in range(6)}
     assert kept_ids(spark, sf, texts) == sorted(texts)
+
+
+def test_near_duplicates_against_brute_force(spark, sf):
+    rng = random.Random(8)
+    texts = {}
+    for family in range(60):
+        base = [f"f{family}w{k}" for k in range(rng.randint(20, 200))]
+        for _ in range(4):  # contiguous changes: similarities from 0.7 to 0.9
+            at, n = rng.randrange(len(base)), rng.randint(1, max(1, len(base) // 9))
+            texts[len(texts)] = " ".join(base[:at] + [f"n{len(texts)}x{k}" for k in range(n)] + base[at + n :])
+    group = similar_by_brute_force(texts)
+    assert 60 < len(set(group.values())) < len(texts)
+    assert kept_ids(spark, sf, texts) == sorted(set(group.values()))
