@@ -43,7 +43,7 @@ SYLLABLES = {"L": "ba da fe ga ho ka le ma ni or pe ra si ta vo zu", "C": "ба
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w+.-])(?:\+1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+(?!1[ (])[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w+.-])(?:\+1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+1 [0-9]{3} [0-9]{3} [0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(0\))?[ .-]?[0-9](?:[ .-][0-9]{2,4}){3,4}(?![0-9])|(?<![\w+])\+(?!1[ (])[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "card": r"(?<!\w)(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?!\w)",
     "identity": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
@@ -53,7 +53,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 #: A text without one of these holds no entity; cheaper to look for.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|(?:" + "|".join(TITLES.values()) + r")\.? \p{Lu}"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}|(?:" + "|".join(TITLES.values()) + r")\.? \p{Lu}"
 MOST_DRAWS = 24
 
 

@@ -386,6 +386,21 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert got[5].split()[1] in pii.FIRST_NAMES["Cf"].split()
 
 
+def test_hint_passes_every_kind(spark):
+    examples = {
+        "email": ["a@b.example.com"], "ip": ["10.1.2.3"], "card": ["4111 1111 1111 1111", "4111111111111111"], "identity": ["078-05-1120"],
+        "phone": ["+45 12 34 56 78", "+47 22 12 34 56", "+49-30-12-34-56", "+1 415 555 2671", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "(415) 555-2671", "415.555.2671", "+1 (415) 555-2671"],
+        "account": ["DE12 ABCD EFGH", "GB82WEST12345698765432"], "name": ["Mrs. Ada Byron", "Dr Who", "г-жа Иванова"],
+    }
+    assert examples.keys() == pii.PATTERNS.keys()
+    cases = [(k, x) for k, found in examples.items() for x in found]
+    df = spark.createDataFrame([(n, f"see {x}, please") for n, (_, x) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(pii.replace_pii(df, "k"))}
+    for n, (kind, x) in enumerate(cases):
+        assert {k: got[n][f"n_{k}"] for k in pii.KINDS} == {k: int(k == kind) for k in pii.KINDS}, x
+        assert x not in got[n]["text"] and got[n]["text"].endswith(", please"), x
+
+
 def test_surrogates_stay_distinct(spark):
     # 26 one-letter addresses of one domain use up one-letter surrogates; the rest are drawn longer.
     found = [("email", f"{chr(97 + k)}@d.example.com") for k in range(26)] + [("email", f"{k}@d.example.com") for k in range(10)]
