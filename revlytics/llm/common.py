@@ -1,23 +1,35 @@
-"""Helpers shared by the training-data operators: scratch tables, Arrow text access, table reading."""
+"""Helpers shared by the training-data operators: scratch tables, columns carried along, Arrow text access, word hashes."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python helper handles at a time; a longer text is taken alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
+_BASE = 0x9E3779B97F4A7C15 | 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one is set only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a temporary one, but only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -28,7 +40,71 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no frame still in use reads."""
+    for df in staged:
+        path = getattr(df, "scratch_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables staged inside are deleted at the end; those named in the list given back stay."""
+    before, keep = set(_written), []
+    try:
+        yield keep
+    finally:
+        stay = {getattr(df, "scratch_path", None) for df in keep}
+        for path in [p for p in _written if p not in before and p not in stay]:
+            _written.remove(path)
+            _delete(spark, path)
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers are used again by other operators."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def at(name: str) -> Column:
+    """A column by its exact name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many _ as it takes to differ from the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def carried(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text in one struct, so that no name of theirs meets an operator's own."""
+    rest = [at(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col]
+    return F.struct(*(rest or [F.lit(None).cast("int").alias("none")]))
+
+
+def restored(docs: DataFrame, text_col: str, text: Column, row: str = "row") -> list[Column]:
+    """The columns of docs from what `carried` made, with a text of its own."""
+    return [text.alias(c) if c == text_col else F.col(row)[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +144,40 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, at least n of each."""
+    size = 1 << max(16, int(n).bit_length())
+    if size not in _powers:
+        _powers.clear()
+        up = np.full(size, _BASE, np.uint64)
+        down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        with np.errstate(over="ignore"):
+            _powers[size] = np.cumprod(up), np.cumprod(down)
+    return _powers[size]
+
+
+def word_hashes(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of a block of texts, and the word's text."""
+    if not len(low):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    space = _SPACE[low]
+    begin, end = ~space, ~space
+    begin[1:] &= space[:-1]
+    end[:-1] &= space[1:]
+    filled = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][filled], offsets[1:][filled] - 1
+    begin[first], end[last] = ~space[first], ~space[last]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+    up, down = power_table(len(low) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)])])
+        words = (total[end + 1] - total[begin]) * down[begin]
+    return words, np.searchsorted(offsets, begin, side="right") - 1
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlytics.llm.common import stage
+from revlytics.llm.common import discard, stage
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = stage(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        old, edges = edges, stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(old, large)
         now = _sum(edges)
         if now == before:
             break
