@@ -2,12 +2,13 @@
 
 Words, character n-grams (4 bytes, across the whole lower-cased text) and, for each window of three
 words, whether the text had it before, are hashed into one table of vectors; a document is the mean of its vectors, put through a softmax layer. Vectors and layer
-are trained together by stochastic gradient descent in numpy on the driver, over at most
-`max_rows` labelled documents (those of smallest id hash), which bounds the driver's work.
+are trained together by stochastic gradient descent in numpy on the driver, over at most `max_rows` labelled
+documents and `max_bytes` of their text (in the order of the id's hash), which bounds the driver's work.
 
 With two classes the margin is linear in the mean, so a trained model is folded into one number a
 bucket; scoring a text is a hashed gather and a mean, inside Spark tasks, over the whole text.
-Null and empty texts have no features and get the score of the bias.
+Null and empty texts have no features and get the score of the bias. Repeated rows give equal rows; all columns are
+carried along, whatever their names; without labels the model is the zero model.
 """
 
 from __future__ import annotations
@@ -22,29 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from revlytics.llm.common import slices, table, utf8
+from revlytics.llm.common import _BASE, at, carried, lower, release, restored, slices, table, utf8, word_hashes
 
 GRAM = 4
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        inverse = pow(_BASE, -1, 1 << 64)
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, inverse, np.uint64)
-        up[0] = down[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
 
 
 def _bucket(x: np.ndarray, bits: int) -> np.ndarray:
@@ -56,34 +37,21 @@ def _bucket(x: np.ndarray, bits: int) -> np.ndarray:
 def hashed(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature buckets of a block, each feature's document, and the number of features a document has."""
     n = len(offsets) - 1
-    low = _LOWER[data]
+    low = lower(data)
     if not len(low):
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(n, np.int64)
-    space = _SPACE[low]
-    begin, end = ~space, ~space
-    begin[1:] &= space[:-1]
-    end = end.copy()
-    end[:-1] &= space[1:]
-    filled = offsets[:-1] < offsets[1:]
-    begin[offsets[:-1][filled]] = ~space[offsets[:-1][filled]]
-    end[offsets[1:][filled] - 1] = ~space[offsets[1:][filled] - 1]
-    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
-    up, down = _power_table(len(low) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)])])
-        words = (total[end + 1] - total[begin]) * down[begin]
+    words, of_word = word_hashes(low, offsets)
     wide = low.astype(np.uint32)
     gram = wide[: max(0, len(low) - GRAM + 1)].copy()
     for k in range(1, GRAM):
         gram = gram << np.uint32(8) | wide[k : k + len(gram)]
-    at = np.arange(len(gram))
-    whose = np.repeat(np.arange(n), np.diff(offsets))
-    whole = whose[at] == whose[at + GRAM - 1] if len(gram) else np.zeros(0, bool)
+    whose = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    whole = whose[: len(gram)] == whose[GRAM - 1 :] if len(gram) else np.zeros(0, bool)
     with np.errstate(over="ignore"):
         grams = (gram[whole].astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE) ^ np.uint64(0x5555)
-    seen, of = _seen_before(words, whose[begin])
+    seen, of = _seen_before(words, of_word)
     ids = np.concatenate([_bucket(words, bits), _bucket(grams, bits), _bucket(seen.astype(np.uint64) + np.uint64(1), bits)])
-    doc = np.concatenate([whose[begin], whose[at[whole]], of])
+    doc = np.concatenate([of_word, whose[: len(gram)][whole], of])
     return ids, doc, np.bincount(doc, minlength=n)
 
 
@@ -127,11 +95,13 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = 16, dim: int = 16, ep
         order = np.argsort(doc, kind="stable")
         for part in np.split(ids[order], np.cumsum(np.bincount(doc, minlength=j - i))[:-1]):
             key, n = np.unique(part, return_counts=True)
-            rows.append((key.astype(np.int32), (n / max(1, len(part))).astype(np.float32)))
+            small = np.uint16 if not len(n) or n.max() < 1 << 16 else np.uint32
+            rows.append((key.astype(np.uint16 if bits <= 16 else np.int32), n.astype(small), len(part)))  # all that is held of a text
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for r in rng.permutation(len(rows)):
-            ids, share = rows[r]
+            ids, n, size = rows[r]
+            share = (n / max(1, size)).astype(np.float32)
             now = rate * (1 - done / steps)
             done += 1
             mean = share @ table_[ids]
@@ -147,31 +117,44 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = 16, dim: int = 16, ep
     return Model((table_ @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8_000, **training) -> Model:
-    """Train on at most max_rows labelled documents; rows without a 0 or 1 label or without text are passed over."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8_000, max_bytes: int = 48 << 20, **training) -> Model:
+    """Train on labelled documents in the order of their id's hash, as many as max_rows and max_bytes of text allow.
+
+    Rows without a 0 or 1 label or without text are passed over. The driver gets no more than max_rows labels and
+    sizes, and then max_bytes of texts.
+    """
+    marked = labels.select(at(id_col).alias("doc_id"), at(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(marked, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(2 * max_rows).select("text", "label").toArrow()
-    return train(rows.column("text").combine_chunks(), np.array(rows.column("label").to_pylist(), np.int64), **training)
+    texts = docs.select(at(id_col).alias("doc_id"), at(text_col).cast("string").alias("text")).where("text is not null")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.md5("text"), F.col("label")]
+    rows = texts.join(F.broadcast(marked), "doc_id")  # at most max_rows are sent
+    sizes = [r["n"] for r in rows.select(F.octet_length("text").alias("n"), *(c.alias(f"o{k}") for k, c in enumerate(order))).orderBy("o0", "o1", "o2", "o3").limit(max_rows).collect()]
+    taken = int(np.searchsorted(np.cumsum(sizes), max_bytes, side="right"))
+    rows = rows.orderBy(*order).limit(taken).select("text", "label").toArrow()
+    model = train(rows.column("text").combine_chunks(), np.array(rows.column("label").to_pylist(), np.int64), **training)
+    del rows
+    release()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All rows and columns of docs, and the score (0 to 1) of each whole text."""
+    """All rows and columns of docs, and the score (0 to 1) of each whole text; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits numbers, whatever the input
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column(text_col))
+            data, offsets = utf8(batch.column("text"))
             for i, j in slices(offsets):
                 got = held.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, "score"])
+        release()
 
-    names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
-    return docs.mapInArrow(work, schema).select(*names, score_col)
+    docs = docs.drop(score_col)
+    source = docs.select(carried(docs, text_col).alias("row"), at(text_col).alias("text"))
+    out = source.mapInArrow(work, StructType([*source.schema.fields, StructField("score", DoubleType())]))
+    return out.select(*restored(docs, text_col, F.col("text")), F.col("score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
