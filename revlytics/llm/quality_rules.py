@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlytics.llm.common import slices, table, utf8
+from revlytics.llm.common import at, slices, table, utf8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_stops", "n_upper", "n_digits")
 
@@ -99,7 +99,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 got = count_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *(pa.array(got[c], pa.int64()) for c in COUNTS)], ["doc_id", *COUNTS])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(at(id_col).alias("doc_id"), at(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(work, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
@@ -221,19 +221,22 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
     return out
 
 
-def fit_decision_list(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 20_000, **learning) -> DecisionList:
-    """Learn from rows whose label is 0 (reject) or 1; at most max_rows of them reach the driver, as numbers."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label in (0, 1)")
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = counts.join(marked, "doc_id").select("label", *(feature(n).alias(n) for n in FEATURES)).toPandas()
+def fit_decision_list(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, **learning) -> DecisionList:
+    """Learn from documents whose label is 0 (reject) or 1; at most max_rows labels are used, and only counts of texts leave the tasks.
+
+    The labels are broadcast (max_rows ids), so that texts are neither shuffled nor counted where they aren't needed.
+    """
+    marked = labels.select(at(id_col).alias("doc_id"), at(label_col).alias("label")).where("doc_id is not null and label in (0, 1)")
+    marked = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows))
+    known = docs.select(at(id_col).alias("doc_id"), at(text_col).alias("text")).join(marked, "doc_id", "left_semi")
+    rows = text_counts(known).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS, "label").limit(2 * max_rows).select("label", *(feature(n).alias(n) for n in FEATURES)).toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)
     return learn({n: rows[n].to_numpy(float) for n in FEATURES}, rows["label"].to_numpy() == 0, **learning)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.join(labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(20_000), "doc_id", "left_semi")
-    rules = fit_decision_list(text_counts(known), labels)
+    rules = fit_decision_list(docs, labels)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return text_counts(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
