@@ -1,16 +1,19 @@
 """Media columns in a content-defined chunk store.
 
 A payload is stored as an 8-bit PCM WAV file. The file is cut where a rolling gear hash says so, and
-stored as an ordered list of chunk digests:
+stored as an ordered list of chunk digests beside the chunks that it owns:
 
-1. `pack` writes, from map tasks alone, one row a distinct text of a batch: its chunks and their digests.
-2. Digests are deduplicated over all rows by Spark joins: each digest has one owner, the row of least
-   key that holds it; every other row borrows the chunk, and its own copy is dead.
-3. `read_back` rebuilds each medium from its ordered list: own chunks from the row, borrowed ones from
-   their owners by joins, and verifies every chunk and the whole file against their digests.
+1. `chunk_lists` reads the texts and writes digests only: for each row its medium's key, for one row a batch the medium's chunk list.
+2. Chunk digests are deduplicated by Spark joins (`plan_store`): a digest of several media is owned by the one of least key; the
+   others borrow it.
+3. `write_store` reads the texts again and writes each medium once, with the bodies of the chunks that it owns: the bytes of every digest are stored once.
+4. `read_back` rebuilds each medium from its ordered list, own chunks from its row, borrowed ones from their owners by a join, and
+   verifies every chunk and the whole file against their digests.
 
-Most media own all their chunks and need no join. A Bloom filter of fixed size says which surely do;
-the rest take the exact joins, as do false positives, so the filter's size affects cost only.
+Most media share no chunk and occur once; they are written and read without any exchange. A Bloom filter of fixed size says which
+surely do; the rest (its false positives too) are exchanged by key, one row a batch and medium, so the filter's size affects cost only:
+beyond some ten million media that share, every text is exchanged once. Joins are left to the planner, which
+broadcasts a side only below its own size threshold.
 
 A payload is the text's UTF-8 with zero bytes up to a positive multiple of 64. Null texts count as empty;
 equal texts are one medium; repeated rows each get its values; an empty table gives an empty result.
@@ -25,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlytics.llm.common import slices, stage, table, utf8
+from revlytics.llm.common import at, discard, release, slices, stage, table, utf8
 
 RATE = 8000
 #: Chunk sizes: least, usual (a power of two), most.
@@ -84,141 +87,176 @@ def features(payload: bytes) -> str:
     return f"samples={len(x)};mean={level.mean():.6f};rms={np.sqrt((level**2).mean()):.6f};turns={turns};peak={int(x.max())};entropy={entropy:.6f}"
 
 
-PACK = "media_key binary, row_key bigint, n_bytes bigint, media_sha256 string, digests array<binary>, bodies array<binary>"
+LIST = "media_key binary, n_bytes bigint, media_sha256 binary, digests array<binary>"
+STORE = "media_key binary, media_sha256 binary, digests array<binary>, bodies array<binary>, borrows boolean"
+_BYTES = pa.list_(pa.binary())
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its medium; digests and bodies only in the first row of a medium within a batch."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("salt"))
+def medium(raw: bytes) -> tuple[bytes, bytes, bytes]:
+    """Stored form, its SHA-256, and the medium's key (padding hides the length, so the key has it)."""
+    stored = wav(raw + bytes(-len(raw) % 64 if raw else 64))
+    sha = hashlib.sha256(stored).digest()
+    return stored, sha, hashlib.blake2b(len(raw).to_bytes(8, "little") + sha, digest_size=16).digest()
+
+
+def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and its medium; digests only in the first row of a medium within a slice."""
+    source = docs.select(at(id_col).alias("doc_id"), at(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            salts, seen = batch.column("salt").to_pylist(), set()
             for i, j in slices(offsets):
-                columns: list[list] = [[] for _ in range(6)]
+                columns, seen = [[] for _ in range(4)], set()
                 for n in range(i, j):
-                    raw = data[offsets[n] : offsets[n + 1]].tobytes()
-                    stored = wav(raw + bytes(-len(raw) % 64 if raw else 64))
-                    sha = hashlib.sha256(stored)
-                    key = hashlib.blake2b(len(raw).to_bytes(8, "little") + sha.digest(), digest_size=16).digest()  # padding hides the length
-                    parts = [] if key in seen else chunks(stored)
+                    size = int(offsets[n + 1] - offsets[n])
+                    stored, sha, key = medium(data[offsets[n] : offsets[n + 1]].tobytes())
+                    parts = None if key in seen else [digest(p) for p in chunks(stored)]
                     seen.add(key)
-                    row = int.from_bytes(hashlib.blake2b(key + salts[n].to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
-                    for c, v in zip(columns, (key, row, len(raw), sha.hexdigest(), [digest(p) for p in parts] or None, parts or None)):
+                    for c, v in zip(columns, (key, size, sha, parts)):
                         c.append(v)
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()))
-                names = ["doc_id", "media_key", "row_key", "n_bytes", "media_sha256", "digests", "bodies"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
-
-    return source.mapInArrow(work, f"doc_id {kind}, {PACK}")
-
+                kinds = (pa.binary(), pa.int64(), pa.binary(), _BYTES)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "media_key", "n_bytes", "media_sha256", "digests"])
+        release()
+
+    return source.mapInArrow(work, f"doc_id {kind}, {LIST}")
+
+
+def plan_store(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Media that share chunks (media_key, lends and borrows: arrays of digests), and the keys of all that can't be written where they are read."""
+    listed = lists.where("digests is not null").select("media_key", F.explode("digests").alias("digest"))
+    shared = listed.groupBy("digest").agg(F.min("media_key").alias("owner"), F.max("media_key").alias("last")).where("owner <> last").select("digest", "owner")
+    roles = listed.join(shared, "digest").distinct()
+    pick = lambda own: F.collect_list(F.when((F.col("media_key") == F.col("owner")) == F.lit(own), F.col("digest")))
+    plan = stage(roles.groupBy("media_key").agg(pick(True).alias("lends"), pick(False).alias("borrows")), "plan")  # at most a medium's chunks
+    many = lists.where("digests is not null").groupBy("media_key").agg(F.count("*").alias("n")).where("n > 1").select("media_key")
+    return plan, plan.select("media_key").unionByName(many)
+
+
+def _places(key: Column) -> list[Column]:
+    """Two places of a key in the filter: its first and second 32 bits."""
+    return [F.pmod(F.conv(F.hex(F.substring(key, i, 4)), 16, 10).cast("long"), F.lit(BLOOM_BITS)) for i in (1, 5)]
+
+
+def bloom(keys: DataFrame) -> np.ndarray:
+    """The filter's words, BLOOM_BITS bits whatever the input, over media_key."""
+    places = keys.select(F.explode(F.array(*_places(F.col("media_key")))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
+    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    got = words.toArrow()  # at most BLOOM_BITS / 64 rows
+    out[got.column("word").to_numpy()] = got.column("v").to_numpy()
+    return out.view(np.uint64)
+
+
+def _passes(words: np.ndarray, key: bytes) -> bool:
+    a, b = (int.from_bytes(key[i : i + 4], "big") % BLOOM_BITS for i in (0, 4))
+    return bool(int(words[a >> 6]) >> (a & 63) & int(words[b >> 6]) >> (b & 63) & 1)
+
+
+def _stored_rows(rows: Iterator[tuple[bytes, list, list]]) -> pa.RecordBatch:
+    """Rows of the store for (text, lends, borrows): a body only at a digest's first place, and only if it is owned."""
+    columns = [[] for _ in range(6)]
+    for raw, lends, borrows in rows:
+        stored, sha, key = medium(raw)
+        parts, other = chunks(stored), set(borrows or ())
+        names, bodies = [digest(p) for p in parts], []
+        for name, part in zip(names, parts):
+            bodies.append(None if name in other else part)
+            other.add(name)
+        for c, v in zip(columns, (key, sha, names, bodies, bool(borrows), lends or None)):
+            c.append(v)
+    kinds = (pa.binary(), pa.binary(), _BYTES, _BYTES, pa.bool_(), _BYTES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["media_key", "media_sha256", "digests", "bodies", "borrows", "lends"])
+
+
+def write_store(docs: DataFrame, plan: DataFrame, unsure: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row for each distinct medium: STORE, and lends (its digests that others borrow)."""
+    source = docs.select(at(text_col).cast("string").alias("text"))
+    words = docs.sparkSession.sparkContext.broadcast(bloom(unsure))  # BLOOM_BITS bits
+
+    def each(batches: Iterator[pa.RecordBatch], doubtful: bool) -> Iterator[tuple[list, list]]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for i, j in slices(offsets):
+                keys, raws, seen = [], [], set()
+                for n in range(i, j):
+                    raw = data[offsets[n] : offsets[n + 1]].tobytes()
+                    key = medium(raw)[2]
+                    if key not in seen and _passes(words.value, key) == doubtful:
+                        keys.append(key)
+                        raws.append(raw)
+                    seen.add(key)
+                yield keys, raws
 
-class Bloom:
-    """A filter of a fixed number of bits over 64-bit keys, two bits a key."""
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raws in each(batches, False):
+            yield _stored_rows((r, None, None) for r in raws)
+        release()
 
-    def __init__(self, keys: DataFrame, bits: int = BLOOM_BITS):
-        h = F.xxhash64("key")
-        places = keys.select(F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(bits)))).alias("p"))
-        words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
-        self.words = np.zeros(bits // 64, np.int64)  # at most bits / 64 rows come here
-        got = words.toArrow()
-        self.words[got.column("word").to_numpy()] = got.column("v").to_numpy()
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, raws in each(batches, True):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["media_key", "body"])
+        release()
 
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = utf8(batch.column("body"))
+            for i, j in slices(offsets):
+                yield _stored_rows(zip(*(batch.column(c)[i:j].to_pylist() for c in ("body", "lends", "borrows"))))
+        release()
 
-def _passes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    one = np.uint64(1)
-    return ((words[a >> 6] >> (a & 63).astype(np.uint64)) & (words[b >> 6] >> (b & 63).astype(np.uint64)) & one).astype(bool)
+    kinds = STORE + ", lends array<binary>"
+    moved = source.mapInArrow(rest, "media_key binary, body binary").dropDuplicates(["media_key"]).join(plan, "media_key", "left").select("body", "lends", "borrows")
+    return source.mapInArrow(sure, kinds).unionByName(moved.mapInArrow(planned, kinds))
 
 
-RESULT = "media_key binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string"
+RESULT = "media_key binary, media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string"
+_RESULT_SCHEMA = pa.schema(
+    [("media_key", pa.binary()), ("media_sha256", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())]
+)
 
 
-def _verified(key: bytes, sha: str, digests: list[bytes], bodies: list[bytes]) -> dict:
-    for d, b in zip(digests, bodies, strict=True):
-        if digest(b) != d:
-            raise ValueError("a chunk differs from its digest")
-    stored = b"".join(bodies)
-    if hashlib.sha256(stored).hexdigest() != sha:
+def verified(key: bytes, sha: bytes, digests: list[bytes], bodies: list[bytes | None], brought: list[dict] | None = None) -> dict:
+    """A medium put together in order from own and borrowed chunks, each checked against its digest and the whole against the file's."""
+    held = {d: b for d, b in zip(digests, bodies, strict=True) if b is not None} | {x["digest"]: x["body"] for x in brought or ()}
+    if any(digest(b) != d for d, b in held.items()):
+        raise ValueError("a chunk differs from its digest")
+    stored = b"".join([held[d] for d in digests])
+    if hashlib.sha256(stored).digest() != sha:
         raise ValueError("a medium differs from its digest")
     payload = wav_samples(stored)
-    return {"media_key": key, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(stored), "feature": features(payload)}
-
-
-_RESULT_SCHEMA = pa.schema([("media_key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())])
-
+    return {"media_key": key, "media_sha256": sha, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(stored), "feature": features(payload)}
 
-def read_back(packs: DataFrame) -> DataFrame:
-    """A row for each medium of a store written by `pack`, rebuilt from its chunks and verified."""
-    sc = packs.sparkSession.sparkContext
-    rows = packs.where("digests is not null")
-    listed = rows.select("media_key", "row_key", F.posexplode("digests").alias("seq", "digest"))
-    shared = stage(listed.groupBy("digest").agg(F.min("row_key").alias("owner"), F.max("row_key").alias("last")).where("owner <> last").select("digest", "owner"), "shared")
-    firsts = rows.groupBy("media_key").agg(F.min("row_key").alias("first"), F.max("row_key").alias("last")).where("first <> last").select("media_key", "first")
-    extra = rows.select("media_key", "row_key").join(firsts, "media_key").where("row_key <> first").select("row_key")
-    borrowed = listed.join(shared, "digest").where("row_key <> owner").select("row_key", "seq", "digest", "owner")
-    borrowed = stage(borrowed, "borrowed")
-    extra = stage(extra.distinct(), "extra")
-    unsure = Bloom(borrowed.select(F.col("row_key").alias("key")).unionByName(extra.select(F.col("row_key").alias("key"))))
-    wanted = Bloom(shared.select(F.xxhash64("digest").alias("key")))
-    rows_filter, digest_filter = sc.broadcast(unsure.words), sc.broadcast(wanted.words)
 
-    hashed = lambda c: [F.pmod(F.xxhash64(c), F.lit(BLOOM_BITS)).alias("pa"), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(BLOOM_BITS)).alias("pb")]
-    placed = rows.select("media_key", "row_key", "media_sha256", "digests", "bodies", *hashed("row_key"))
-
-    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maybe = _passes(rows_filter.value.view(np.uint64), batch.column("pa").to_numpy(), batch.column("pb").to_numpy())
-            part = batch.filter(pa.array(~maybe))
-            for k in range(0, part.num_rows, 256):
-                columns = [part.column(c)[k : k + 256].to_pylist() for c in ("media_key", "media_sha256", "digests", "bodies")]
-                yield pa.RecordBatch.from_pylist([_verified(*x) for x in zip(*columns)], _RESULT_SCHEMA)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maybe = _passes(rows_filter.value.view(np.uint64), batch.column("pa").to_numpy(), batch.column("pb").to_numpy())
-            yield batch.filter(pa.array(maybe)).select(["media_key", "row_key", "media_sha256", "digests", "bodies"])
-
-    listed_hash = F.transform("digests", lambda d: F.pmod(F.xxhash64(F.xxhash64(d)), F.lit(BLOOM_BITS)))
-    listed_hash2 = F.transform("digests", lambda d: F.pmod(F.xxhash64(F.xxhash64(d), F.lit(1)), F.lit(BLOOM_BITS)))
-    owning = rows.select("row_key", "digests", "bodies", listed_hash.alias("pa"), listed_hash2.alias("pb"))
-
-    def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("pa"), batch.column("pb")
-            ok = np.flatnonzero(_passes(digest_filter.value.view(np.uint64), a.flatten().to_numpy(), b.flatten().to_numpy()))
-            whose = np.repeat(np.arange(batch.num_rows), np.diff(a.offsets.to_numpy()))[ok]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key").take(pa.array(whose)), batch.column("digests").flatten().take(pa.array(ok)), batch.column("bodies").flatten().take(pa.array(ok))], ["owner", "digest", "body"]
-            )
-
-    bodies = owning.mapInArrow(lent, "owner bigint, digest binary, body binary").dropDuplicates(["owner", "digest"])
-    brought = borrowed.join(bodies.join(shared, ["digest", "owner"], "left_semi"), ["digest", "owner"])
-    brought = brought.groupBy("row_key").agg(F.collect_list(F.struct("seq", "body")).alias("brought"))  # at most a medium's chunks
-    left = placed.mapInArrow(rest, "media_key binary, row_key bigint, media_sha256 string, digests array<binary>, bodies array<binary>")
-    left = left.join(extra, "row_key", "left_anti").join(brought, "row_key", "left")
+def read_back(store: DataFrame) -> DataFrame:
+    """A row for each medium of a store, rebuilt from its chunks and verified."""
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                part, out = batch.slice(k, 64), []
-                for key, sha, digests, own, more in zip(*(part.column(c).to_pylist() for c in ("media_key", "media_sha256", "digests", "bodies", "brought"))):
-                    for x in more or ():
-                        own[x["seq"]] = x["body"]
-                    out.append(_verified(key, sha, digests, own))
-                yield pa.RecordBatch.from_pylist(out, _RESULT_SCHEMA)
+                columns = [batch.column(c)[k : k + 64].to_pylist() for c in batch.schema.names]
+                yield pa.RecordBatch.from_pylist([verified(*row) for row in zip(*columns)], _RESULT_SCHEMA)
+        release()
 
-    return placed.mapInArrow(sure, RESULT).unionByName(left.mapInArrow(rebuilt, RESULT))
+    own = ["media_key", "media_sha256", "digests", "bodies"]
+    lent = store.where("lends is not null").select("lends", F.explode(F.arrays_zip("digests", "bodies")).alias("c"))
+    lent = lent.where(F.array_contains("lends", F.col("c.digests")) & F.col("c.bodies").isNotNull()).select(F.col("c.digests").alias("digest"), F.col("c.bodies").alias("body"))
+    asked = store.where("borrows").select("media_key", F.explode(F.arrays_zip("digests", "bodies")).alias("c")).where("c.bodies is null").select("media_key", F.col("c.digests").alias("digest")).distinct()
+    brought = asked.join(lent, "digest").groupBy("media_key").agg(F.collect_list(F.struct("digest", "body")).alias("brought"))  # at most a medium's chunks
+    borrowers = store.where("borrows").select(*own).join(brought, "media_key")
+    return store.where("not borrows").select(*own).mapInArrow(rebuilt, RESULT).unionByName(borrowers.mapInArrow(rebuilt, RESULT))
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pack, deduplicate, read back: a row for each document with its medium's values."""
-    packs = stage(pack(docs, id_col, text_col), "packs")
-    media = stage(read_back(packs).dropDuplicates(["media_key"]), "media")
-    return packs.select("doc_id", "media_key", "n_bytes", "media_sha256").join(media, "media_key").drop("media_key")
+    """List, deduplicate, store, read back: a row for each document with its medium's values."""
+    lists = stage(chunk_lists(docs, id_col, text_col), "lists")
+    plan, unsure = plan_store(lists)
+    store = stage(write_store(docs, plan, unsure, text_col), "store")
+    media = stage(read_back(store), "media")
+    discard(plan, store)
+    return lists.select("doc_id", "media_key", "n_bytes").join(media, "media_key").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
 
 
 def op5_media_chunks(spark, sf_dir: str) -> DataFrame:
-    out = store_media(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return store_media(table(spark, sf_dir, "documents"))
