@@ -1,12 +1,14 @@
 """BPE encoding and decoding of whole texts with a public vocabulary.
 
 White space never enters a token of this vocabulary, so a text is encoded word by word, and a word's
-ids are remembered by the worker (bounded memory). What has no white space for `LONG` characters is
-encoded as a tree: halves are encoded apart (`encode_batch` runs them in parallel), then joined: a
-window around the join is encoded anew and grown until it agrees with the left ids on its left side and
-with the right ids on its right side, so that only the join changes. A text of more than
-`PART_BYTES` is dealt to several tasks first, cut after white space where there is some, and its
-ids are put together in order, with the same joins where there was none.
+ids are remembered by the worker (bounded in bytes). Long unsplit text is encoded as a tree:
+
+1. A text of more than `PART_BYTES` is cut into parts, after white space where there is some, else inside a run of letters,
+   digits or symbols. Parts are Spark rows and are encoded in parallel by tasks.
+2. Neighbours are joined pairwise, halves of halves first. Where a run was cut, a window around the join is encoded anew and
+   grown until it agrees with the left ids on its left side and with the right ids on its right side, so that only the join changes.
+3. What has no white space for `LONG` characters within a part is encoded as the same tree of leaves of that length; a task
+   has one core, so its leaves are encoded one after another.
 
 Null texts count as empty and have no ids; repeated rows give equal rows.
 """
@@ -19,20 +21,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from revlytics.llm.common import slices, stage, table, utf8
+from revlytics.llm.common import at, release, slices, stage, table, utf8
 
 #: Characters without white space from which the tree is used, and of its leaves.
 LONG = 512
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of words and ids that a worker remembers, without Python's own.
+REMEMBERED = 16 << 20
 #: Bytes of a text from which it is dealt to several tasks.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -57,6 +58,7 @@ class Encoder:
         self.ends = np.array([s.endswith("</w>") for s in self.shown])
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     # -- words
 
@@ -88,8 +90,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if self.held > REMEMBERED:
+            self.forget()
         split = []
         for t in texts:
             if b"<|" not in t:  # the names of special tokens are matched as they are written
@@ -98,9 +100,14 @@ class Encoder:
         new = set().union(*split) - self.known.keys()
         if new:
             self._encode_words(new)
+            self.held += sum(len(w) + len(self.known[w]) + 160 for w in new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def decode(self, ids: bytes) -> str:
         """As decode(ids, skip_special_tokens=False): this vocabulary has no decoder, tokens are joined by spaces."""
         shown = self.shown
@@ -170,7 +177,9 @@ class Encoder:
 
 
 _STOPS = re.compile(rb"([a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
-_CUT = re.compile(rb"[A-Za-z]{4}(?=[A-Za-z]{4})")
+# Runs inside which a text may be cut. Of letters and of symbols the two sides belong to one run; a digit is a run of its own.
+_IDEOGRAPH = rb"(?:\xe4[\xb8-\xbf]|[\xe5-\xe9][\x80-\xbf])[\x80-\xbf]"
+_CUT = re.compile(rb"(?P<run>[A-Za-z]{4}(?=[A-Za-z]{4})|[*_#=.~+-]{4}(?=[*_#=.~+-]{4})|(?:" + _IDEOGRAPH + rb"){4}(?=(?:" + _IDEOGRAPH + rb"){4}))|[0-9]{4}(?=[0-9]{4})")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -190,8 +199,8 @@ def cut_parts(text: bytes, limit: int) -> list[tuple[bytes, bool]]:
             end = at + limit // 2 + m.end()
         if end is None:
             for m in _CUT.finditer(text, at + limit // 2):
-                if b"<|" not in text[m.end() - 24 : m.end()]:
-                    end, next_glued = m.end(), True
+                if b"<|" not in text[max(0, m.end() - 24) : m.end()]:
+                    end, next_glued = m.end(), m["run"] is not None
                     break
                 if m.end() > at + 4 * limit:
                     break
@@ -205,57 +214,70 @@ def cut_parts(text: bytes, limit: int) -> list[tuple[bytes, bool]]:
     return [*out, (text[at:], glued)]
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit), a row for each document."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def with_ids(docs: DataFrame, path: str, made, schema: str, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """made(doc_ids, ids of each document, encoder) -> arrays of `schema`, over all documents, in the tasks that encode them."""
+    source = docs.select(at(id_col).alias("doc_id"), F.coalesce(at(text_col).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            k = batch.schema.get_field_index("text")
             for i, j in slices(offsets):
                 ids = own.encode([data[offsets[n] : offsets[n + 1]].tobytes() for n in range(i, j)])
-                columns = batch.slice(i, j - i).columns
-                columns[k] = pa.array(ids, pa.binary())
-                yield pa.RecordBatch.from_arrays(columns, ["ids" if n == "text" else n for n in batch.schema.names])
+                cols = made(batch.column("doc_id")[i:j], ids, own)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+        own.forget()
+        release()
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            ids = own.encode([t.encode() for t in batch.column("text").to_pylist()])
+            columns = [*batch.drop_columns(["text"]).columns, pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*(n for n in batch.schema.names if n != "text"), "ids"])
+        own.forget()
+        release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for seq, (part, glued) in enumerate(cut_parts(text.encode(), part_bytes)):
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "row": row, "seq": seq, "glued": glued, "text": part.decode()}], parts_schema)
-
-    def together(rows: pd.DataFrame) -> pd.DataFrame:
-        own, rows = encoder(path), rows.sort_values("seq")
-        out = b""
-        for ids, glued in zip(rows["ids"], rows["glued"]):
-            out = own.glue(out, bytes(ids)) if glued else out + bytes(ids)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "ids": [out]})
-
-    short = source.where(F.octet_length("text") <= part_bytes).mapInArrow(encode, f"doc_id {kind}, ids binary")
+                for seq, (piece, glued) in enumerate(cut_parts(text.encode(), part_bytes)):
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "row": row, "seq": seq, "glued": glued, "text": piece.decode()}], parts_schema)
+
+    def together(rows: pa.Table) -> pa.Table:
+        own, rows = encoder(path), rows.sort_by("seq")
+        level = list(zip(rows.column("ids").to_pylist(), rows.column("glued").to_pylist()))
+        while len(level) > 1:  # halves of halves
+            pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+            level = [((own.glue(p[0][0], p[1][0]) if p[1][1] else p[0][0] + p[1][0]), p[0][1]) if len(p) == 2 else p[0] for p in pairs]
+        cols = made(rows.column("doc_id").combine_chunks()[:1], [level[0][0]], own)
+        return pa.Table.from_arrays(list(cols.values()), list(cols))
+
+    short = source.where(F.octet_length("text") <= part_bytes).mapInArrow(whole, schema)
     long = source.where(F.octet_length("text") > part_bytes).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text")
     parts_type = f"doc_id {kind}, row bigint, seq int, glued boolean, text string"
     parts_schema = pa.schema([("doc_id", to_arrow_type(source.schema["doc_id"].dataType)), ("row", pa.int64()), ("seq", pa.int32()), ("glued", pa.bool_()), ("text", pa.string())])
     parts = stage(long.mapInArrow(cut, parts_type), "parts").repartition("row", "seq")
-    coded = parts.mapInArrow(encode, f"doc_id {kind}, row bigint, seq int, glued boolean, ids binary")
-    return short.unionByName(coded.groupBy("row").applyInPandas(together, f"doc_id {kind}, ids binary"))
+    coded = parts.mapInArrow(part, f"doc_id {kind}, row bigint, seq int, glued boolean, ids binary")
+    return short.unionByName(coded.groupBy("row").applyInArrow(together, schema))
+
+
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit), a row for each document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return with_ids(docs, path, lambda doc_ids, ids, own: {"doc_id": doc_ids, "ids": pa.array(ids, pa.binary())}, f"doc_id {kind}, ids binary", id_col, text_col, part_bytes)
 
 
 def op7_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    coded = encode_texts(table(spark, sf_dir, "documents"), path)
+    docs = table(spark, sf_dir, "documents")
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(own.decode(x).encode()) for x in ids])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digest(doc_ids: pa.Array, ids: list[bytes], own: Encoder) -> dict:
+        return {
+            "doc_id": doc_ids, "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha(x) for x in ids], pa.string()),
+            "decoded_sha256": pa.array([sha(own.decode(x).encode()) for x in ids], pa.string()),
+        }
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return with_ids(docs, vocabulary_path(), digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

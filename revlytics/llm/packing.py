@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlytics.llm.bpe import encode_texts, vocabulary_path
+from revlytics.llm.bpe import vocabulary_path, with_ids
 from revlytics.llm.common import stage, table
 
 #: Rows that one task numbers.
@@ -235,27 +235,26 @@ def make_plan(histogram: dict[int, int], capacity: int = 2048, **options) -> Pla
     return Plan(*(np.array([r[k] for r in rows], np.int64) for k in range(5)), base)
 
 
-def pieces_of(coded: DataFrame, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 for frames of (doc_id, ids): each document's ids and an end id, cut only where longer than capacity."""
-    kind = coded.schema["doc_id"].dataType.simpleString()
+def pieces_of(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut only where longer than capacity."""
+    kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], np.uint32).tobytes()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            which, piece, start, length, crc = [], [], [], [], []
-            for n, ids in enumerate(batch.column("ids").to_pylist()):
-                ids += end
-                for p, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a : a + 4 * capacity]
-                    which.append(n)
-                    piece.append(p)
-                    start.append(a // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            ids64 = [pa.array(x, pa.int64()) for x in (start, length, crc)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *ids64], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return coded.select("doc_id", "ids").mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    def cut(doc_ids: pa.Array, coded: list[bytes], _) -> dict:
+        which, piece, start, length, crc = [], [], [], [], []
+        for n, ids in enumerate(coded):
+            ids += end
+            for p, a in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[a : a + 4 * capacity]
+                which.append(n)
+                piece.append(p)
+                start.append(a // 4)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+        wide = {c: pa.array(x, pa.int64()) for c, x in (("start", start), ("length", length), ("ids_crc32", crc))}
+        return {"doc_id": doc_ids.take(pa.array(which, pa.int64())), "piece": pa.array(piece, pa.int32())} | wide
+
+    return with_ids(docs, path, cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint", id_col, text_col)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, **options) -> DataFrame:
@@ -282,7 +281,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, **options) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(stage(pieces_of(encode_texts(docs, path, id_col, text_col), capacity, end_id), "pieces"), capacity)
+    return pack(stage(pieces_of(docs, path, capacity, end_id, id_col, text_col), "pieces"), capacity)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
