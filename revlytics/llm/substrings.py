@@ -10,13 +10,15 @@ Sorting all suffixes of a corpus in numpy is out of reach, so the transforms are
    Their contexts are fetched, grouped by anchor, sorted as shards, and the shards' Burrows-Wheeler
    transforms are merged by interleave refinement (`bwt.merge`). Blocks that share `length` bytes are the
    repeated intervals; all but those of least id are marked. Anchors with very many contexts are
-   dealt out window by window instead.
+   dealt out window by window instead: those that a sample shows (HOT_SAMPLE) already in step 1, where a window takes the place
+   of a run and is collapsed like one, so that a passage of any number of documents costs a row a batch; others in step 2.
 3. Marks of all kinds meet the texts, and covered bytes are removed.
 
 Hashes only decide what is compared (32 bits of anchor within a bucket) and when two contexts under one
 anchor are the same (48 bits more). Rows of different texts with one doc_id are told apart
-by a hash of the text and never remove from each other. Null texts count as empty; rows with a null doc_id
-keep their text and are no source; repeated rows give equal rows.
+by 32 bits of a hash of the text and never remove from each other. Null texts count as empty; rows with a null doc_id
+keep their text and are no source; repeated rows give equal rows. Columns are carried along whatever their names.
+A text longer than a slice is read in pieces; a run cut by a piece's end is one more context of its anchor.
 """
 
 from __future__ import annotations
@@ -30,22 +32,27 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from revlytics.llm.bwt import Shard, merge
-from revlytics.llm.common import slices, stage, table, utf8
-from revlytics.llm.quality_classifier import _BASE, _power_table
+from revlytics.llm.common import _BASE, at, carried, power_table, release, restored, slices, stage, table, utf8
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text of which a batch collapses its runs, and of a bucket's or group's texts.
 BATCH_BYTES, GROUP_BYTES = 8 << 20, 4 << 20
+#: Bytes of a long text that are hashed at a time.
+PIECE_BYTES = 1 << 18
 #: Bytes of contexts that one task's transforms hold, about.
 CONTEXT_BYTES = 1 << 20
 #: Contexts under one anchor above which they are dealt out window by window.
 HOT = 4_000
+#: One text in SAMPLE is looked at for anchors with HOT_SAMPLE contexts or more; at most MOST_HOT of them are dealt out at once.
+#: This decides cost only, never results.
+SAMPLE, HOT_SAMPLE, MOST_HOT = 16, 32, 100_000
 SHARDS = 4
 
-RUN = {"doc": np.int64, "tag": np.uint16, "pos": np.uint32, "num": np.uint32, "anchor": np.uint32, "ctx_a": np.uint32, "ctx_b": np.uint16}
-MARK = {"doc": np.int64, "tag": np.uint16, "pos": np.uint32, "num": np.uint32}
+RUN = {"doc": np.int64, "tag": np.uint32, "pos": np.uint32, "num": np.uint32, "anchor": np.uint32, "ctx_a": np.uint32, "ctx_b": np.uint16}
+MARK = {"doc": np.int64, "tag": np.uint32, "pos": np.uint32, "num": np.uint32}
 #: Marks, and contexts that are asked for: bucket of the anchor and whether it is hot.
 ASK = MARK | {"anchor": np.uint32, "bucket": np.uint32, "hot": np.uint8}
 
@@ -61,7 +68,7 @@ class _Hash:
     """Hashes of any byte range of a block."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down = _power_table(len(data) + 1)
+        self.up, self.down = power_table(len(data) + 1)
         with np.errstate(over="ignore"):
             self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)])])
 
@@ -70,8 +77,11 @@ class _Hash:
             return (self.sum[end] - self.sum[begin]) * self.down[begin]
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of window starts with one minimizer: row, first start (in its text), how many, 64-bit hashes of anchor and context."""
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, hot: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Runs of window starts with one minimizer: row, first start (in its text), how many, 64-bit hashes of anchor and context.
+
+    A run with an anchor of `hot` (ascending) is given window by window, each with an anchor of its own.
+    """
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < length:
@@ -97,9 +107,32 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     new[1:] = (least[start[1:]] != least[start[:-1]]) | (row[start[1:]] != row[start[:-1]])
     first = start[new]
     num = np.diff(np.append(np.flatnonzero(new), len(start)))
+    anchor = _mix(poly[least[first]], 0xA0761D6478BD642F)
+    del v, least, valid, start, new, poly
+    if hot is not None and len(hot):
+        deal = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        many = np.where(deal, num, 1)
+        which = np.repeat(np.arange(len(num)), many)
+        first = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        num, anchor, deal = np.where(deal, 1, num)[which], anchor[which], deal[which]
     with np.errstate(over="ignore"):
-        ctx = _mix(h.of(first, first + num + length - 1) + num.astype(np.uint64) * np.uint64(_BASE), 0xD6E8FEB86659FD93)
-    return {"row": row[first], "pos": first - offsets[row[first]], "num": num, "anchor": _mix(poly[least[first]], 0xA0761D6478BD642F), "ctx": ctx}
+        body = h.of(first, first + num + length - 1)
+        ctx = _mix(body + num.astype(np.uint64) * np.uint64(_BASE), 0xD6E8FEB86659FD93)
+        if hot is not None and len(hot):
+            anchor = np.where(deal, _mix(anchor ^ body, 0xE7037ED1A0B428DB), anchor)
+    return {"row": row[first], "pos": first - offsets[row[first]], "num": num, "anchor": anchor, "ctx": ctx}
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, position, bytes, offsets) of a batch's slices; a long text in pieces that overlap by length - 1."""
+    for i, j in slices(offsets, PIECE_BYTES):
+        a, b = int(offsets[i]), int(offsets[j])
+        if j > i + 1 or b - a <= 2 * PIECE_BYTES:
+            yield i, j, 0, data[a:b], offsets[i : j + 1] - a
+            continue
+        for x in range(0, b - a - length + 1, PIECE_BYTES):
+            part = data[a + x : min(b, a + x + PIECE_BYTES + length - 1)]
+            yield i, j, x, part, np.array([0, len(part)])
 
 
 # ---- packed rows: a key, a kind, and a binary column for each field
@@ -129,22 +162,40 @@ def _by(key: np.ndarray, fields: dict[str, np.ndarray]) -> Iterator[tuple[int, d
         yield int(key[part[0]]), {c: v[order[part]] for c, v in fields.items()}
 
 
-def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
+def _group_of(doc: np.ndarray, tag: np.ndarray, groups: int) -> np.ndarray:
     x = doc.view(np.uint64)
-    return ((x ^ (x >> np.uint64(17))) & np.uint64(0x7FFFFFFFFFFFFFFF)).astype(np.int64) % groups
+    return ((x ^ (x >> np.uint64(17)) ^ tag.astype(np.uint64)) & np.uint64(0x7FFFFFFFFFFFFFFF)).astype(np.int64) % groups
+
+
+def _with_group(docs: DataFrame, groups: int) -> DataFrame:
+    """docs (doc, text) with _doc, _tag, _group; as _group_of has it."""
+    doc, tag = F.col("doc").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+    mixed = doc.bitwiseXOR(F.shiftrightunsigned(doc, 17)).bitwiseXOR(tag).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    group = F.when(doc.isNull(), F.pmod(F.xxhash64("text"), F.lit(groups))).otherwise(F.pmod(mixed, F.lit(groups)))
+    return docs.withColumns({"_doc": doc, "_tag": tag, "_group": group.cast("int")})
 
 
-def _with_group(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
-    """docs with _doc, _tag, _group; as _group_of has it."""
-    doc = F.col(id_col).cast("long")
-    mixed = doc.bitwiseXOR(F.shiftrightunsigned(doc, 17)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
-    group = F.when(doc.isNull(), F.pmod(F.xxhash64(text_col), F.lit(groups))).otherwise(F.pmod(mixed, F.lit(groups)))
-    return docs.withColumns({"_doc": doc, "_tag": F.pmod(F.xxhash64(F.col(text_col)), F.lit(65536)).cast("int"), "_group": group.cast("int")})
+def _hot_anchors(source: DataFrame, length: int) -> np.ndarray:
+    """Anchors with very many contexts, by a sample of the texts; at most MOST_HOT, ascending."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            held = [runs_of(part, at_, length) for _, _, _, part, at_ in _pieces(data, offsets, length)]
+            if held:
+                both = np.unique(np.stack([np.concatenate([h[c] for h in held]) for c in ("anchor", "ctx")], axis=1), axis=0)
+                anchor, n = np.unique(both[:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["anchor", "n"])
+        release()
+
+    some = source.where((F.pmod(F.xxhash64("_doc", "_tag"), F.lit(SAMPLE)) == 0) & F.col("_doc").isNotNull()).select("text").mapInArrow(work, "anchor bigint, n bigint")
+    often = some.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_SAMPLE).orderBy(F.desc("n"), "anchor").limit(MOST_HOT)
+    return np.sort(np.array([r["anchor"] for r in often.collect()], np.int64).view(np.uint64))
 
 
 def _local_runs(source: DataFrame, buckets: int, groups: int, length: int) -> DataFrame:
     """Runs by anchor bucket (kind 0), each once a batch for the least doc of the batch; marks of the others (kind 1)."""
-    schema = _arrow(RUN)
+    schema, hot = _arrow(RUN), _hot_anchors(source, length)
 
     def emit(held: list[dict]) -> pa.RecordBatch:
         f = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
@@ -157,7 +208,7 @@ def _local_runs(source: DataFrame, buckets: int, groups: int, length: int) -> Da
         rows = []
         blank = {"anchor": np.zeros(0), "ctx_a": np.zeros(0), "ctx_b": np.zeros(0)}
         gone = {c: f[c][later] for c in ("doc", "tag", "pos", "num")}
-        for g, part in _by(_group_of(gone["doc"], groups), gone):
+        for g, part in _by(_group_of(gone["doc"], gone["tag"], groups), gone):
             order = np.lexsort((part["pos"], part["doc"]))
             rows.append(_packed(RUN, g, 1, {c: v[order] for c, v in part.items()} | blank))
         keep = {c: v[~later] for c, v in f.items()}
@@ -174,16 +225,18 @@ def _local_runs(source: DataFrame, buckets: int, groups: int, length: int) -> Da
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             doc, tag = batch.column("_doc").to_numpy(), batch.column("_tag").to_numpy()
-            for i, j in slices(offsets, 1 << 20):
-                r = runs_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+            for i, j, x, part, at_ in _pieces(data, offsets, length):
+                r = runs_of(part, at_, length, hot=hot)
                 if len(r["row"]):
-                    held.append({"doc": doc[i:j][r["row"]], "tag": tag[i:j][r["row"]].astype(np.uint16), "pos": r["pos"].astype(np.uint32), "num": r["num"].astype(np.uint32), "anchor": r["anchor"], "ctx": r["ctx"]})
-                size += int(offsets[j] - offsets[i])
+                    held.append({"doc": doc[i:j][r["row"]], "tag": tag[i:j][r["row"]].astype(np.uint32), "pos": (r["pos"] + x).astype(np.uint32), "num": r["num"].astype(np.uint32), "anchor": r["anchor"], "ctx": r["ctx"]})
+                size += len(part)
                 if size >= BATCH_BYTES and held:
-                    yield emit(held)
-                    held, size = [], 0
+                    out, held, size = emit(held), [], 0
+                    yield out
+                    del out
         if held:
             yield emit(held)
+        release()
 
     return source.where("_doc is not null").select("_doc", "_tag", "text").mapInArrow(work, _kinds(RUN))
 
@@ -210,7 +263,7 @@ def _decide(runs: DataFrame, groups: int) -> DataFrame:
             new_ctx[1:] |= ctx[1:] != ctx[:-1]
             head = np.maximum.accumulate(np.where(new_ctx, np.arange(n), 0))
             later = f["doc"] > f["doc"][head]
-            for g, part in _by(_group_of(f["doc"][later], groups), {c: f[c][later] for c in MARK}):
+            for g, part in _by(_group_of(f["doc"][later], f["tag"][later], groups), {c: f[c][later] for c in MARK}):
                 out.append(_packed(ASK, g, 1, part | blank))
             which = np.cumsum(new_anchor) - 1
             contexts = np.bincount(which, weights=new_ctx)
@@ -219,7 +272,7 @@ def _decide(runs: DataFrame, groups: int) -> DataFrame:
             ask = ((contexts > 1) & (low < high))[which] & ~later
             more = {c: f[c][ask] for c in (*MARK, "anchor")} | {"hot": (contexts > HOT)[which][ask].astype(np.uint8)}
             more["bucket"] = np.full(int(ask.sum()), key, np.uint32)
-            for g, part in _by(_group_of(more["doc"], groups), more):
+            for g, part in _by(_group_of(more["doc"], more["tag"], groups), more):
                 out.append(_packed(ASK, g, 2, part))
         return pa.Table.from_pylist(out, schema)
 
@@ -232,7 +285,7 @@ def _rows_of(texts: pa.Table, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndar
     own_doc = np.array([x if x is not None else 0 for x in texts.column("_doc").to_pylist()], np.int64)
     known = np.array(texts.column("_doc").is_valid().to_pylist(), bool)
     own_tag = np.array(texts.column("_tag").to_pylist(), np.int64)
-    pairs = np.stack([own_doc, np.where(known, own_tag, 1 << 20)], axis=1)
+    pairs = np.stack([own_doc, np.where(known, own_tag, 1 << 40)], axis=1)
     unique, mine = np.unique(pairs, axis=0, return_inverse=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
     asked = np.stack([doc, tag.astype(np.int64)], axis=1) if len(doc) else np.zeros((0, 2), np.int64)
     both, code = np.unique(np.concatenate([unique, asked]), axis=0, return_inverse=True)
@@ -322,7 +375,7 @@ def _resolve(contexts: DataFrame, groups: int, length: int) -> DataFrame:
             first = np.flatnonzero(new)
             num = np.diff(np.append(first, len(i)))
             i, at = i[first], at[first]
-            for g, part in _by(_group_of(f["doc"][i], groups), {"doc": f["doc"][i], "tag": f["tag"][i], "pos": f["pos"][i] + at, "num": num}):
+            for g, part in _by(_group_of(f["doc"][i], f["tag"][i], groups), {"doc": f["doc"][i], "tag": f["tag"][i], "pos": f["pos"][i] + at, "num": num}):
                 out.append(_packed(MARK, g, 1, part))
         return pa.Table.from_pylist(out, schema)
 
@@ -373,18 +426,18 @@ def marks_of(source: DataFrame, total: int, groups: int, length: int) -> DataFra
     return decided.where("kind = 1").select("key", "kind", *MARK).unionByName(found)
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups = int(max(8, total // GROUP_BYTES))
-    return _with_group(docs.withColumn(text_col, text), id_col, text_col, groups), int(total), groups
+def _prepared(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """docs (doc, text, ...) ready to be grouped; bytes of text; groups."""
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    groups = max(8, total // GROUP_BYTES)
+    return _with_group(docs, groups), total, groups
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    source, total, groups = _prepared(named, "doc_id", "text")
-    kind = named.schema["doc_id"].dataType
+    named = docs.select(at(id_col).alias("doc"), F.coalesce(at(text_col).cast("string"), F.lit("")).alias("text"))
+    source, total, groups = _prepared(named)
+    kind = named.schema["doc"].dataType
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def finish(texts, data, offsets, removed):
@@ -394,28 +447,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         edge[first] = removed[first]
         total = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int64)]))[offsets[1:]] - c[offsets[:-1]]
         sha = [hashlib.sha256(data[a:b][~removed[a:b]].tobytes()).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        return pa.Table.from_arrays([texts.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total(removed)), pa.array(total(edge)), pa.array(sha, pa.string())], names)
+        return pa.Table.from_arrays([texts.column("doc"), pa.array(np.diff(offsets)), pa.array(total(removed)), pa.array(total(edge)), pa.array(sha, pa.string())], names)
 
-    source = source.select("doc_id", "text", "_doc", "_tag", "_group")
     out = f"doc_id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     return _cut(source, marks_of(source, total, groups, length), length, out, finish)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The same rows and columns without repeated passages; a character cut in part goes whole; n_chars, where present, follows."""
-    source, total, groups = _prepared(docs, id_col, text_col)
-    source = source.withColumn("_text", F.col(text_col)) if text_col != "text" else source
-    held = source if text_col == "text" else source.drop("text").withColumnRenamed("_text", "text")
-    names = docs.columns
+    """The same rows and columns without repeated passages; a null text comes back empty; a character cut in part goes whole; n_chars, where present, follows."""
+    named = docs.select(carried(docs, text_col).alias("row"), at(id_col).alias("doc"), F.coalesce(at(text_col).cast("string"), F.lit("")).alias("text"))
+    source, total, groups = _prepared(named)
 
     def finish(texts, data, offsets, removed):
         kept = [data[a:b][~removed[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        kind = texts.schema.field(text_col).type
-        return pa.Table.from_arrays([pa.array(kept, kind) if c == text_col else texts.column(c) for c in names], names)
+        return pa.Table.from_arrays([texts.column("row"), pa.array(kept, pa.string())], ["row", "text"])
 
-    out = _cut(held, marks_of(held.select("_doc", "_tag", "_group", "text"), total, groups, length), length, docs.schema, finish)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    schema = StructType([named.schema["row"], StructField("text", StringType())])
+    out = _cut(source, marks_of(source, total, groups, length), length, schema, finish)
+    out = out.select(*restored(docs, text_col, F.col("text").cast(docs.schema[text_col].dataType)))
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        out = out.withColumn("n_chars", F.length(at(text_col)).cast(docs.schema["n_chars"].dataType))
     return out
 
 
