@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlytics.llm.bpe import vocabulary_path
-from revlytics.llm.common import stage, table
-from revlytics.llm.jaccard import similar_groups
+from revlytics.llm.common import free_name, passing, stage, table
+from revlytics.llm.jaccard import one_of_each
 from revlytics.llm.packing import pack_documents
 from revlytics.llm.quality_classifier import fit_quality, score_quality
 from revlytics.llm.secrets import redact_secrets
@@ -27,14 +27,13 @@ SHINGLE_WORDS = 5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at least LEAST_QUALITY; it is trained on the labelled ones."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, score_col="_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    score = free_name(docs, "score")
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates (rows without an id stay)."""
-    groups = similar_groups(docs, SHINGLE_WORDS)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: SimHash links and an exact check of their similarity (jaccard.py)."""
+    return one_of_each(docs, SHINGLE_WORDS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +53,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicate", near_duplicate), ("repeats", repeats), ("secrets", secrets), ("packing", packing)]
 
-#: Training, suffix sorting and tokenizing have no SQL; tests/llm compares the stages with brute force.
+#: Training, suffix sorting and tokenizing have no SQL. tests/llm/test_pipeline.py compares run() with brute force, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"stage-{name}")
+        with passing(spark) as kept:
+            docs = stage(step(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
     return docs

@@ -3,8 +3,7 @@
 1. Every whole text gives a fingerprint: for each bit, whether over half of its shingles' hashes have it.
 2. Distinct fingerprints are dealt into buckets. For a small radius r the bits are cut into r + 1
    blocks: two fingerprints within r agree on one block at least, so nothing is lost. A bucket
-   that is too large is cut again by the remaining bits in the same way. For a large radius, keys of
-   sampled bits are used instead (`sampled`), which find a pair with a known probability.
+   that is too large is cut again by the remaining bits in the same way.
 3. Within a bucket fingerprints are compared bit-sliced: bit planes are stored vertically, one bit of
    many fingerprints a word; the planes' differences are added three at a time by carry-save
    adders into bitwise counters, and a query is abandoned once all lanes exceed the radius.
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlytics.llm.common import slices, stage, table, utf8
+from revlytics.llm.common import at, discard, slices, stage, table, utf8
 from revlytics.llm.components import connected_components
 
 BUCKET = 4096
@@ -76,6 +75,18 @@ def fingerprints_of(texts: list[bytes], words: int, bits: int) -> np.ndarray:
     return out
 
 
+def majorities(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints (bytes, least first) of texts given by their hashes, `count` of each text one after another."""
+    out = np.zeros((len(count), 8), np.uint8)
+    filled = np.flatnonzero(count)
+    if len(filled):
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = (np.cumsum(count) - count)[filled]
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out[filled] = np.packbits(2 * ones > count[filled][:, None], axis=1, bitorder="little")
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (binary, least significant byte first)."""
 
@@ -86,7 +97,7 @@ def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, id_col: str =
                 got = fingerprints_of([data[offsets[n] : offsets[n + 1]].tobytes() for n in range(i, j)], words, bits)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([r.tobytes() for r in got], pa.binary())], ["doc_id", "fp"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(at(id_col).alias("doc_id"), at(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(work, f"doc_id {kind}, fp binary")
 
@@ -189,21 +200,6 @@ class Blocks:
         return np.array_split(rest, self.radius + 1) if len(rest) > self.radius else []
 
 
-@dataclass(frozen=True)
-class Sampled:
-    """Keys of sampled bits: a pair at distance d meets with probability 1 - (1 - (1 - d/bits)^key_bits)^n."""
-
-    bits: int
-    n: int = 24
-    key_bits: int = 12
-    seed: int = 5
-    levels: int = 1
-
-    def tables(self, used: tuple[int, ...]) -> list[np.ndarray]:
-        rng = np.random.default_rng(self.seed)
-        return [rng.choice(self.bits, self.key_bits, replace=False) for _ in range(self.n)] if not used else []
-
-
 def _keyed(rows: DataFrame, scheme, level: int) -> DataFrame:
     """A row for each table of the next level; the key hashes the path (a collision only adds comparisons)."""
 
