@@ -16,21 +16,43 @@ def lines_of(text: Column) -> Column:
 
 
 def added_lines(diffs: DataFrame, case: str = "case_id", text: str = "diff") -> DataFrame:
-    """case, path, line, content of every added line; one shuffle by case, a window over a diff's lines."""
-    rows = diffs.select(case, F.posexplode(lines_of(F.col(text))).alias("at", "raw"))
-    order = Window.partitionBy(case).orderBy("at")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    hunk = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)
+    """case, path, line, content of every added line; one shuffle by row, a window over a diff's lines.
+
+    A hunk's lines are numbered from its header's second range; context lines (empty ones too) count, removed ones and the mark of a
+    missing final line end don't. A file header ends a hunk. Rows are told apart, so a case_id may have several diffs.
+    """
+    # The number only keeps a row's lines together, so it may differ from run to run.
+    rows = diffs.select(case, text, F.monotonically_increasing_id().alias("_row"))
+    rows = rows.select(case, "_row", F.posexplode(lines_of(F.col(text))).alias("at", "raw"))
+    so_far = Window.partitionBy("_row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    raw = F.col("raw")
+    hunk = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
+    is_hunk, is_file = hunk != "", raw.startswith("+++ ")
+    name = F.regexp_replace(F.trim(F.substring("raw", 5, 1 << 20)), "^b/", "")
     rows = rows.withColumns({
-        "path": F.last(F.when(F.col("raw").startswith("+++ "), F.regexp_replace(F.substring("raw", 5, 1 << 20), "^b/", "")), True).over(so_far),
-        "first": F.last(F.when(hunk != "", hunk.cast("long")), True).over(so_far),
-        "hunk": F.sum(F.when(hunk != "", 1).otherwise(0)).over(so_far),
-        "header": F.col("raw").rlike(r"^(\+\+\+ |--- |@@ |diff --git |index )"),
+        "path": F.last(F.when(is_file, name), True).over(so_far),
+        "state": F.last(F.when(is_file, F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("first"))).when(is_hunk, F.struct(F.lit(True).alias("inside"), hunk.cast("long").alias("first"))), True).over(so_far),
+        "part": F.sum(F.when(is_file | is_hunk, 1).otherwise(0)).over(so_far),
     })
-    counted = (~F.col("header") & (F.col("raw").startswith("+") | F.col("raw").startswith(" "))).cast("long")
-    inside = Window.partitionBy(case, "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("line", F.col("first") + F.sum(counted).over(inside) - 1)
-    return rows.where(F.col("raw").startswith("+") & ~F.col("header") & F.col("first").isNotNull()).select(case, "path", "line", F.substring("raw", 2, 1 << 30).alias("content"))
+    added = raw.startswith("+") & ~raw.startswith("+++")
+    skipped = (raw.startswith("-") & ~raw.startswith("---")) | raw.startswith("\\ No newline")
+    counted = F.when(is_hunk | is_file | (skipped & ~added), 0).otherwise(1).cast("long")
+    inside = Window.partitionBy("_row", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("line", F.col("state.first") + F.sum(counted).over(inside) - 1)
+    return rows.where(added & ~is_file & F.col("state.inside")).select(case, F.when(F.col("path") != "", F.col("path")).otherwise("unknown").alias("path"), "line", F.substring("raw", 2, 1 << 30).alias("content"))
+
+
+def split_by_file(diffs: DataFrame, case: str = "case_id", text: str = "diff") -> DataFrame:
+    """case, at (from 0), path, chunk: a diff's text from one file header to the next; the path is the new one."""
+    parts = F.regexp_extract_all(F.array_join(F.transform(lines_of(F.col(text)), lambda x: F.concat(x, F.lit("\n"))), ""), F.lit(r"(?m)^diff --git a/.* b/.*\n(?:(?!diff --git a/).*\n)*"), F.lit(0))
+    rows = diffs.select(case, F.posexplode(parts).alias("at", "chunk"))
+    return rows.select(case, F.col("at").cast("long").alias("at"), F.trim(F.regexp_extract("chunk", r"^diff --git a/.* b/(.*)\n", 1)).alias("path"), "chunk")
+
+
+def change_fingerprint(text: Column) -> Column:
+    """SHA-1 of the changed lines with their file headers, without trailing blanks; hunk headers, index lines and context don't count."""
+    changed = F.filter(lines_of(text), lambda x: x.startswith("+") | x.startswith("-"))
+    return F.sha1(F.array_join(F.transform(changed, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"))
 
 
 def reverse_diff(text: Column) -> Column:

@@ -121,8 +121,9 @@ def disagreement_direction(spark, sf):
 from (select *, props || ':' || (user_id % 50)::varchar as delivery_id from events) group by delivery_id""")
 def webhook_idempotency(spark, sf):
     log = table(spark, sf, "events").select(F.concat("props", F.lit(":"), (F.col("user_id") % 50).cast("string")).alias("delivery_id"), "event_id", "event_type")
-    claims = changelog.immutable(log, ["delivery_id"], "event_type").select("delivery_id", F.col("n_rows").alias("deliveries"), "conflict")
-    return changelog.first(log, ["delivery_id"], ["event_id"]).join(claims, "delivery_id")
+    one = F.min_by(F.struct("event_id", "event_type"), "event_id").alias("one")
+    claims = log.groupBy("delivery_id").agg(one, F.count("*").alias("deliveries"), (F.min("event_type") != F.max("event_type")).alias("conflict"))
+    return claims.select("delivery_id", "one.event_id", "one.event_type", "deliveries", "conflict")
 
 
 @query("""select user_id as memory_id, max(value) as importance, arg_max(event_type, event_id) as scope, arg_min(props, event_id) as content from events group by user_id""")

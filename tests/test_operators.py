@@ -23,6 +23,28 @@ def test_added_lines(spark):
     assert values(diffs.added_lines(df)) == [(1, "app.py", 3, "new = 2"), (1, "app.py", 4, "eval(x)"), (1, "app.py", 22, "there")]
 
 
+def test_added_lines_of_odd_diffs(spark):
+    two = "--- a/x\n+++ b/x\n@@ -1,4 +1,5 @@\n one\n\n+three\n-gone\n\\ No newline at end of file\n+four\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n-all\n+++ b/z\n+not in a hunk\n@@ -5 +7,2 @@ def f():\n+seven\n same\n+nine\n"
+    df = spark.createDataFrame([(1, two), (2, "@@ -0,0 +1 @@\n+bare\n"), (1, "+++ b/w\n@@ -1 +1 @@\n+again")], "case_id int, diff string")
+    want = [(1, "w", 1, "again"), (1, "x", 3, "three"), (1, "x", 4, "four"), (1, "z", 7, "seven"), (1, "z", 9, "nine"), (2, "unknown", 1, "bare")]
+    assert values(diffs.added_lines(df)) == want
+
+
+def test_diff_parts_and_fingerprint(spark):
+    one = "diff --git a/p.py b/p.py\nindex 1..2\n--- a/p.py\n+++ b/p.py\n@@ -1 +1 @@\n-a \n+b\n"
+    moved = one.replace("@@ -1 +1 @@", "@@ -9 +9 @@\n context").replace("-a ", "-a")
+    other = one.replace("p.py", "q.py")
+    df = spark.createDataFrame([(1, one + other), (2, "no header")], "case_id int, diff string")
+    assert values(diffs.split_by_file(df)) == [(1, 0, "p.py", one), (1, 1, "q.py", other)]
+    got = [r[0] for r in spark.createDataFrame([(one,), (moved,), (other,)], "d string").select(diffs.change_fingerprint(F.col("d"))).collect()]
+    assert got[0] == got[1] != got[2]
+
+
+def test_a_long_chain_matches_without_recursion():
+    chain = [(k, k, 1) for k in range(3000)] + [(k + 1, k, 0) for k in range(2999)]
+    assert len(matching.max_matching(chain)) == 3000
+
+
 def test_reversal_is_an_involution(spark):
     df = spark.createDataFrame([(DIFF,)], "diff string")
     once = df.select(diffs.reverse_diff(F.col("diff")).alias("diff"))
