@@ -6,7 +6,7 @@
 2. Fingerprints of texts as alike as 4/5 may differ in more bits, so the rest is done exactly. Shingles are put in one order for all
    texts: by hash, frequent ones last. Two texts whose similarity is at least 4/5 share one of the first
    n - ceil(4n/5) + 1 of their n shingles: texts of different groups so far that share one of these are candidates. First
-   each is compared with the least one of its bucket, then every pair still in different groups.
+   each is compared with one drawn from each of its buckets, a few times over, then every pair still in different groups.
 3. A candidate is given up if sizes or bitmaps rule it out. A bitmap has the parity of the shingles of each slot, so
    two bitmaps never differ in more bits than the texts in shingles. What is left is compared shingle by shingle.
 
@@ -31,6 +31,8 @@ WIDTH = 512
 RADIUS = 4
 #: Shingles seen in HOT texts or more of one in SAMPLE come last; the order decides cost only, never results.
 SAMPLE, HOT, MOST_HOT = 4, 3, 200_000
+#: Rounds of stars before all pairs that are left.
+ROUNDS = 4
 MAPS = [f"b{k}" for k in range(WIDTH // 64)]
 
 
@@ -172,28 +174,33 @@ def similar_groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col
     near = once.join(heads, "fp").where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y")).unionByName(edges.select("x", "y"))
     u, v = once.select(F.col("node").alias("x"), whole("u")), once.select(F.col("node").alias("y"), whole("v"))
     found = _verified(_possible(near.join(u, "x").join(v, "y"), wide), texts, words)
-    roots = roots_of_prints = stage(connected_components(found), "roots")
+    roots = stage(connected_components(found), "roots")
 
     # 2. The rest: shingles that one text alone has give no candidates.
     tokens = every.select("node", F.explode("first").alias("h"))
-    least = tokens.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot <> most")
-    met = tokens.join(least.select("h", "pivot"), "h").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = stage(met, "met")
-    of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("other"))
-    stars = met.where("node <> pivot").select("node", "pivot", "root").distinct().join(of_pivot, "pivot", "left").where("root <> coalesce(other, pivot)").select("node", "pivot")
-    more = _verified(_possible(stars.join(once.select("node", whole("v")), "node").join(once.select(F.col("node").alias("pivot"), whole("u")), "pivot"), wide), texts, words)
-    found = found.unionByName(more)
-
-    roots = connected_components(found)
+    several = tokens.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h")
+    met = stage(tokens.join(several, "h").distinct(), "met")
+    for k in range(ROUNDS):
+        # Each text with one drawn for each of its shingles: in a large group every text meets many others, with a row a shingle.
+        placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        drawn = placed.groupBy("h").agg(F.min_by(F.struct("node", "root"), F.xxhash64("h", "node", F.lit(k))).alias("p"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        stars = placed.join(drawn.select("h", "p"), "h").where("root <> p.root").select(F.greatest("node", "p.node").alias("x"), F.least("node", "p.node").alias("y")).distinct()
+        more = _verified(_possible(stars.join(u, "x").join(v, "y"), wide), texts, words)
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+        roots = stage(connected_components(found), "roots")
+
     placed = stage(met.select("h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     open_ = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
     rows = stage(placed.join(open_, "h").join(once, "node").select("h", "root", whole("x")), "open")
+    # What is left: every pair of different groups; few texts of large groups are still by themselves here.
     left, right = rows.select("h", F.col("root").alias("r"), F.col("x").alias("u")), rows.select("h", F.col("root").alias("s"), F.col("x").alias("v"))
     rest = _verified(_possible(left.join(right, "h").where("r < s"), wide), texts, words)
 
     roots = connected_components(found.unionByName(rest))
     placed = stage(ids.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    discard(every, once, heads, roots_of_prints, met, rows)
+    discard(every, once, heads, met, rows)
     return placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "root", "component_id")
 
 
