@@ -32,7 +32,7 @@ RADIUS = 4
 #: Shingles seen in HOT texts or more of one in SAMPLE come last; the order decides cost only, never results.
 SAMPLE, HOT, MOST_HOT = 4, 3, 200_000
 #: Rounds of stars before all pairs that are left.
-ROUNDS = 4
+ROUNDS = 3
 MAPS = [f"b{k}" for k in range(WIDTH // 64)]
 
 
