@@ -3,7 +3,7 @@
 A payload is stored as an 8-bit PCM WAV file. The file is cut where a rolling gear hash says so, and
 stored as an ordered list of chunk digests beside the chunks that it owns:
 
-1. `chunk_lists` reads the texts and writes digests only: for each row its medium's key, for one row a batch the medium's chunk list.
+1. `chunk_lists` reads the texts and writes digests only: for each row its medium's key, for one row a slice the medium's chunk list.
 2. Chunk digests are deduplicated by Spark joins (`plan_store`): a digest of several media is owned by the one of least key; the
    others borrow it.
 3. `write_store` reads the texts again and writes each medium once, with the bodies of the chunks that it owns: the bytes of every digest are stored once.
@@ -130,7 +130,8 @@ def plan_store(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     roles = listed.join(shared, "digest").distinct()
     pick = lambda own: F.collect_list(F.when((F.col("media_key") == F.col("owner")) == F.lit(own), F.col("digest")))
     plan = stage(roles.groupBy("media_key").agg(pick(True).alias("lends"), pick(False).alias("borrows")), "plan")  # at most a medium's chunks
-    many = lists.where("digests is not null").groupBy("media_key").agg(F.count("*").alias("n")).where("n > 1").select("media_key")
+    # Every medium of several rows counts, however batches were cut: only what occurs once may be written where it is read.
+    many = lists.groupBy("media_key").agg(F.count("*").alias("n")).where("n > 1").select("media_key")
     return plan, plan.select("media_key").unionByName(many)
 
 
