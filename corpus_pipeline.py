@@ -53,7 +53,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicate", near_duplicate), ("repeats", repeats), ("secrets", secrets), ("packing", packing)]
 
-#: Training, suffix sorting and tokenizing have no SQL. tests/llm/test_pipeline.py compares run() with brute force, stage by stage.
+#: Training, suffix sorting and tokenizing have no SQL. tests/llm compares near_duplicate, and the operators of repeats, secrets and
+#: packing, with brute force, and the classifier with held-out labels.
 ORACLE_SQL = None
 
 
