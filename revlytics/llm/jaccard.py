@@ -6,7 +6,7 @@
 2. Fingerprints of texts as alike as 4/5 may differ in more bits, so the rest is done exactly. Shingles are put in one order for all
    texts: by hash, frequent ones last. Two texts whose similarity is at least 4/5 share one of the first
    n - ceil(4n/5) + 1 of their n shingles: texts of different groups so far that share one of these are candidates. First
-   each is compared with one drawn from each of its buckets, a few times over, then every pair still in different groups.
+   each is compared with one drawn from each of its buckets, then every pair still in different groups.
 3. A candidate is given up if sizes or bitmaps rule it out. A bitmap has the parity of the shingles of each slot, so
    two bitmaps never differ in more bits than the texts in shingles. What is left is compared shingle by shingle.
 
@@ -31,8 +31,6 @@ WIDTH = 512
 RADIUS = 4
 #: Shingles seen in HOT texts or more of one in SAMPLE come last; the order decides cost only, never results.
 SAMPLE, HOT, MOST_HOT = 4, 3, 200_000
-#: Rounds of stars before all pairs that are left.
-ROUNDS = 3
 MAPS = [f"b{k}" for k in range(WIDTH // 64)]
 
 
@@ -180,16 +178,12 @@ def similar_groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col
     tokens = every.select("node", F.explode("first").alias("h"))
     several = tokens.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h")
     met = stage(tokens.join(several, "h").distinct(), "met")
-    for k in range(ROUNDS):
-        # Each text with one drawn for each of its shingles: in a large group every text meets many others, with a row a shingle.
-        placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        drawn = placed.groupBy("h").agg(F.min_by(F.struct("node", "root"), F.xxhash64("h", "node", F.lit(k))).alias("p"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        stars = placed.join(drawn.select("h", "p"), "h").where("root <> p.root").select(F.greatest("node", "p.node").alias("x"), F.least("node", "p.node").alias("y")).distinct()
-        more = _verified(_possible(stars.join(u, "x").join(v, "y"), wide), texts, words)
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
-        roots = stage(connected_components(found), "roots")
+    # Each text with one drawn for each of its shingles: in a large group every text meets many others, with a row a shingle.
+    placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    drawn = placed.groupBy("h").agg(F.min_by(F.struct("node", "root"), F.xxhash64("h", "node")).alias("p"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    stars = placed.join(drawn.select("h", "p"), "h").where("root <> p.root").select(F.greatest("node", "p.node").alias("x"), F.least("node", "p.node").alias("y")).distinct()
+    found = found.unionByName(_verified(_possible(stars.join(u, "x").join(v, "y"), wide), texts, words))
+    roots = stage(connected_components(found), "roots")
 
     placed = stage(met.select("h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     open_ = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
