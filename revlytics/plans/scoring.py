@@ -42,7 +42,7 @@ _TIERS = ("location", "category", "exact")
 def _reviewed(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Findings and truths of one line each, with weakness ids; several may share a line."""
     items = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") % 3).cast("long").alias("line"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("item"),
+        F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") % 3).cast("long").alias("line"), ((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 3 + F.col("l_linenumber") % 3).alias("item"),
         F.concat(F.lit("CWE-"), _nth(_CWES, F.col("l_partkey") % 6).cast("string")).alias("cwe"), (F.col("l_suppkey") % 2 == 0).alias("is_truth"),
     ).distinct()
     found = items.where("not is_truth").select("case_id", "line", F.col("item").alias("p"), F.col("cwe").alias("p_cwe"))
@@ -50,7 +50,7 @@ def _reviewed(spark, sf) -> tuple[DataFrame, DataFrame]:
     return found, truth
 
 
-_REVIEWED = f"""i as (select distinct l_orderkey as case_id, (l_linenumber % 3)::bigint as line, l_partkey * 1000 + l_suppkey as item, {list(_CWES)}[l_partkey % 6 + 1] as n, l_suppkey % 2 = 0 as truth from lineitem),
+_REVIEWED = f"""i as (select distinct l_orderkey as case_id, (l_linenumber % 3)::bigint as line, (l_partkey * 1000 + l_suppkey) * 3 + l_linenumber % 3 as item, {list(_CWES)}[l_partkey % 6 + 1] as n, l_suppkey % 2 = 0 as truth from lineitem),
 g(n, family) as (values {_NUMBERS}), k as (select i.*, case when family is null then 'CWE-' || i.n else family end as category from i left join g using (n))"""
 
 
