@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from revlytics.llm.common import discard, stage
 
 
-def _sum(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars already: no node is u twice, or u and v."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("n"), F.min("up").alias("least")).where("n > 1 or n = 1 and least = 0").count() == 0
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the least node reachable.
 
     Large-star links each node's larger neighbours to its least one, small-star its smaller ones;
-    both keep components. Every round is written to the shared scratch folder. A hub's edges are
-    spread by the join on it, which adaptive execution splits; its minimum is pre-aggregated.
+    both keep components. Every round is written to the shared scratch folder, and there are rounds until
+    only stars are left. A hub's edges are spread by the join on it, which adaptive execution splits; its
+    minimum is pre-aggregated.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stage(edges, "edges")
-    before = _sum(edges)
-    while before[0]:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -32,9 +33,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, edges = edges, stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
         discard(old, large)
-        now = _sum(edges)
-        if now == before:
-            break
-        before = now
-    roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(roots, "node", "left_anti"))
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
