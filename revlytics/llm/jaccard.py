@@ -6,7 +6,8 @@
 2. Fingerprints of texts as alike as 4/5 may differ in more bits, so the rest is done exactly. Shingles are put in one order for all
    texts: by hash, frequent ones last. Two texts whose similarity is at least 4/5 share one of the first
    n - ceil(4n/5) + 1 of their n shingles: texts of different groups so far that share one of these are candidates. First
-   each is compared with one drawn from each of its buckets, then every pair still in different groups.
+   each is compared with one drawn from each of its buckets. Of texts still in different groups, those of like size meet in the
+   buckets, if the places of their first shared shingle leave enough shingles behind it for a similarity of 4/5.
 3. A candidate is given up if sizes or bitmaps rule it out. A bitmap has the parity of the shingles of each slot, so
    two bitmaps never differ in more bits than the texts in shingles. What is left is compared shingle by shingle.
 
@@ -127,6 +128,19 @@ def _possible(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     return near.where(F.isnull("x") | F.isnull("y") | (9 * apart <= F.col("both"))).select("u", "v")
 
 
+def _rest(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v structs) of different groups that share a shingle h which can be the first that they share; few texts of large groups are still by themselves here.
+
+    u is the smaller text. With all shingles before h unshared, at most n - place of either text are shared, and 4/9 of both texts'
+    shingles must be. Sizes in a ratio of 5/4 or less are in one band of ratio 1.26, or in neighbouring ones.
+    """
+    band = F.floor(F.log(F.col("x.n").cast("double")) / F.log(F.lit(1.26))).cast("int")
+    small = rows.where("9 * place <= x.n").select("h", band.alias("band"), F.col("root").alias("r"), (F.col("x.n") - F.col("place")).alias("i"), F.col("x").alias("u"))
+    large = rows.select("h", F.explode(F.array(band, band - 1)).alias("band"), F.col("root").alias("s"), (F.col("x.n") - F.col("place")).alias("j"), F.col("x").alias("v"))
+    ordered = "(u.n < v.n or u.n = v.n and u.node < v.node)"
+    return small.join(large, ["h", "band"]).where(f"r <> s and {ordered} and 9 * least(i, j) >= 4 * (u.n + v.n)").select("u", "v")
+
+
 def _folded(x: Column, y: Column) -> Column:
     """A bitmap x at the width of y, where that is half of its own."""
     k = F.size(y)
@@ -175,24 +189,23 @@ def similar_groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col
     roots = stage(connected_components(found), "roots")
 
     # 2. The rest: shingles that one text alone has give no candidates.
-    tokens = every.select("node", F.explode("first").alias("h"))
+    tokens = every.select("node", F.posexplode("first").alias("place", "h"))
     several = tokens.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h")
     met = stage(tokens.join(several, "h").distinct(), "met")
+    stars = lambda roots: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     # Each text with one drawn for each of its shingles: in a large group every text meets many others, with a row a shingle.
     placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     drawn = placed.groupBy("h").agg(F.min_by(F.struct("node", "root"), F.xxhash64("h", "node")).alias("p"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    stars = placed.join(drawn.select("h", "p"), "h").where("root <> p.root").select(F.greatest("node", "p.node").alias("x"), F.least("node", "p.node").alias("y")).distinct()
-    found = found.unionByName(_verified(_possible(stars.join(u, "x").join(v, "y"), wide), texts, words))
-    roots = stage(connected_components(found), "roots")
+    asked = placed.join(drawn.select("h", "p"), "h").where("root <> p.root").select(F.greatest("node", "p.node").alias("x"), F.least("node", "p.node").alias("y")).distinct()
+    found = _verified(_possible(asked.join(u, "x").join(v, "y"), wide), texts, words)
+    roots = stage(connected_components(stars(roots).unionByName(found)), "roots")
 
-    placed = stage(met.select("h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    placed = stage(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     open_ = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-    rows = stage(placed.join(open_, "h").join(once, "node").select("h", "root", whole("x")), "open")
-    # What is left: every pair of different groups; few texts of large groups are still by themselves here.
-    left, right = rows.select("h", F.col("root").alias("r"), F.col("x").alias("u")), rows.select("h", F.col("root").alias("s"), F.col("x").alias("v"))
-    rest = _verified(_possible(left.join(right, "h").where("r < s"), wide), texts, words)
+    rows = stage(placed.join(open_, "h").join(once, "node").select("h", "place", "root", whole("x")), "open")
+    rest = _verified(_possible(_rest(rows), wide), texts, words)
 
-    roots = connected_components(found.unionByName(rest))
+    roots = connected_components(stars(roots).unionByName(rest))
     placed = stage(ids.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "rooted")
     discard(every, once, heads, met, rows)
     return placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "root", "component_id")

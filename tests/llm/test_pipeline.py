@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+from revlytics.llm.components import connected_components
 
 
 def test_stages_keep_columns_and_clean_documents(spark, sf, docs):
@@ -75,3 +76,28 @@ def test_near_duplicates_against_brute_force(spark, sf):
     group = similar_by_brute_force(texts)
     assert 60 < len(set(group.values())) < len(texts)
     assert kept_ids(spark, sf, texts) == sorted(set(group.values()))
+
+
+def test_near_duplicates_of_short_texts_that_share_phrases(spark, sf):
+    rng = random.Random(3)
+    texts = {0: "a b c d e f g h", 1: "a b c d e f g h i"}  # 4 and 5 shingles: exactly 4/5
+    phrases = [[f"p{p}w{k}" for k in range(rng.randint(6, 30))] for p in range(8)]
+    for d in range(2, 240):
+        words = sum(rng.sample(phrases, rng.randint(1, 3)), [])
+        at = rng.randint(0, len(words) // 5)
+        texts[d] = " ".join(words[at:] + [f"t{d}"] * rng.randint(0, 1))
+    group = similar_by_brute_force(texts)
+    assert 20 < len(set(group.values())) < len(texts) - 20
+    assert kept_ids(spark, sf, texts) == sorted(set(group.values()))
+
+
+def test_components_by_union(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(7, 900), (8, 900), (7, 7)] + [(1000 + k, 1001 + k) for k in range(60)]
+    root = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in range(400):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(root.items())
