@@ -208,7 +208,9 @@ def similar_groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col
     roots = connected_components(stars(roots).unionByName(rest))
     placed = stage(ids.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "rooted")
     discard(every, once, heads, met, rows)
-    return placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "root", "component_id")
+    # Written first, so that the join has plain exchanges, which adaptive execution splits where one group holds many rows.
+    least = stage(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return placed.join(least, "root").select("doc_id", "node", "root", "component_id")
 
 
 def text_node(text: Column) -> Column:
@@ -222,8 +224,8 @@ def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     Rows are dropped, not ids: another text under a dropped row's id stays. Of rows alike in id and text any one stays.
     """
     groups = stage(similar_groups(docs, words, id_col, text_col), "groups")
-    cells = groups.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
-    best = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "node")).alias("best"))
+    cells = stage(groups.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n")), "cells")
+    best = stage(groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "node")).alias("best")), "best")
     judged = stage(cells.join(best, "root").select("doc_id", "node", "n", (F.struct(F.isnull("doc_id").alias("none"), "doc_id", "node") == F.col("best")).alias("stays")), "judged")
     mark = F.struct(text_node(at(text_col)).alias("node"), at(id_col).alias("doc_id"))
     cell = F.struct("node", "doc_id").alias("mark")
