@@ -19,8 +19,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star links each node's larger neighbours to its least one, small-star its smaller ones;
     both keep components. Every round is written to the shared scratch folder, and there are rounds until
-    only stars are left. A hub's edges are spread by the join on it, which adaptive execution splits; its
-    minimum is pre-aggregated.
+    only stars are left. A hub's minimum is pre-aggregated; its edges, two numbers each, may meet in one task of the join on it.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stage(edges, "edges")
