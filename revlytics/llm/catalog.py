@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from revlytics.llm import chat, clusters, tries
 from revlytics.llm.bpe import op7_bpe_round_trip
 from revlytics.llm.media import op5_media_chunks
 from revlytics.llm.packing import op6_best_fit_packing
@@ -13,7 +14,7 @@ from revlytics.llm.sharding import op1_minimax_sharding
 from revlytics.llm.simhash import op2_simhash_near_dedup
 from revlytics.llm.substrings import op3_suffix_dedup
 
-QUERIES = (op1_minimax_sharding, op2_simhash_near_dedup, op3_suffix_dedup, op4_secret_scan, op5_media_chunks, op6_best_fit_packing, op7_bpe_round_trip, op8_pii_surrogates, op9_quality_rules, op10_quality_classifier)
+QUERIES = (op1_minimax_sharding, op2_simhash_near_dedup, op3_suffix_dedup, op4_secret_scan, op5_media_chunks, op6_best_fit_packing, op7_bpe_round_trip, op8_pii_surrogates, op9_quality_rules, op10_quality_classifier, chat.op11_chat_round_trip, tries.op12_conversation_trie, clusters.op13_centroid_clusters)
 
 
 def queries() -> dict:
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_chat_round_trip": chat.SQL, "op12_conversation_trie": tries.SQL, "op13_centroid_clusters": clusters.SQL}
