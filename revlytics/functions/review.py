@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from revlytics.functions.strings import strip
+
 # Severities by rank, tools whose evidence is strong, and thresholds.
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 STRONG_TOOLS = ("ast_analyze", "symbol", "git_context", "run_scanners", "semgrep", "bandit", "eslint", "typecheck", "test", "diff-ast-analyze")
@@ -42,9 +44,9 @@ def gate_reasons(f: dict[str, Column]) -> Column:
     `f`: line (content of the added line, null where the place isn't one), rule_id, title, explanation, evidence, tools (those with an evidence id),
     chain (whether there is a call chain), severity, confidence, fix, test.
     """
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
     high = F.lower(f["severity"]).isin("critical", "high")
-    quoted = ~blank(f["evidence"]) & F.coalesce(F.contains(F.trim(f["line"]), F.trim(f["evidence"])), F.lit(False))
+    quoted = ~blank(f["evidence"]) & F.coalesce(F.contains(strip(f["line"]), strip(f["evidence"])), F.lit(False))
     strong = F.exists(f["tools"], lambda t: t.isin(*STRONG_TOOLS))
     return reasons({
         "format": f["line"].isNull() | blank(f["rule_id"]) | blank(f["title"]) | blank(f["explanation"]),

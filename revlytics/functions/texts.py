@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlytics.functions.strings import GAP, strip
 from revlytics.operators.diffs import lines_of
 
 # What the words of test runners mean.
@@ -25,7 +26,7 @@ def cause_path(path: Column) -> Column:
 
     A `..` that leaves the repository stays; dots at the start of names too.
     """
-    flat = F.regexp_replace(F.trim(F.coalesce(path, F.lit(""))), r"[\\/]+", "/")
+    flat = F.regexp_replace(strip(F.coalesce(path, F.lit(""))), r"[\\/]+", "/")
     rooted = flat.startswith("/")
     empty = F.array().cast("array<string>")
 
@@ -41,31 +42,56 @@ def cause_path(path: Column) -> Column:
 
 
 def _named(words: dict[str, str], word: Column) -> Column:
-    out = F
-    for k, v in words.items():
-        out = out.when(word == k, v)
-    return out
+    return F.element_at(F.create_map(*(F.lit(x) for pair in words.items() for x in pair)), word)
+
+
+def _node_id(word: Column, whole: bool) -> Column:
+    """The node id `file.py::part::part` that a word is (whole) or begins with, with forward slashes; null without one."""
+    pieces = F.split(word, "::", -1)
+    file = F.get(pieces, 0)
+    is_file = file.endswith(".py") & (F.length(file) > 3) & ~file.rlike(r"(?U)[^\w./\\-]")
+    names = F.slice(pieces, F.lit(2), F.size(pieces))
+    if whole:
+        kept = F.when(F.forall(names, lambda x: (x != "") & ~F.contains(x, F.lit(":"))), names)
+    else:  # up to the first part that is empty or has a colon, which ends it
+        start = F.struct(F.lit(True).alias("open"), F.array().cast("array<string>").alias("kept"))
+        cut = lambda x: F.substring_index(x, ":", 1)
+        step = lambda a, x: F.struct((a["open"] & ~F.contains(x, F.lit(":"))).alias("open"), F.when(a["open"] & (cut(x) != ""), F.concat(a["kept"], F.array(cut(x)))).otherwise(a["kept"]).alias("kept"))
+        stops = lambda a, x: F.when(x == "", F.struct(F.lit(False).alias("open"), a["kept"].alias("kept"))).otherwise(step(a, x))
+        kept = F.aggregate(names, start, stops, lambda a: a["kept"])
+    return F.when(is_file & (F.size(kept) > 0), F.replace(F.concat_ws("::", file, kept), F.lit("\\"), F.lit("/")))
+
+
+def _outcome_of_unit(rest: Column) -> Column:
+    """What stands after `name (dotted)`: perhaps a note in brackets, three dots, an outcome."""
+    noted = rest.startswith("[") & F.contains(rest, F.lit("]"))
+    after = F.when(noted, F.substr(rest, F.locate("]", rest) + 1)).otherwise(F.concat(F.lit(" "), rest))
+    gap, dots = strip(F.substr(after, F.lit(1), F.lit(1))) == "", strip(after)
+    said = F.substr(dots, F.lit(4))
+    fits = gap & dots.startswith("...") & (strip(F.substr(said, F.lit(1), F.lit(1))) == "") & (said != "")
+    outcome = F
+    for word, meaning in UNIT_WORDS.items():
+        outcome = outcome.when(strip(said).startswith(word) & ~F.substr(strip(said), F.lit(len(word) + 1), F.lit(1)).rlike(r"(?U)\w"), meaning)
+    return F.when(fits, outcome)
 
 
 def test_outcomes(logs: DataFrame, key: str, text: str) -> DataFrame:
     """key, test, outcome of each test that a log names; of several outcomes of one test failed wins, then passed.
 
-    Lines of three kinds count: the id before the outcome, the outcome before the id, and `name (dotted) ... outcome`, whose id is
-    the dotted name with the test's own once. Partial maxima, one shuffle by log and test.
+    Lines are read word by word. Three kinds count: a node id and its outcome, an outcome and its node id, and `name (dotted) ... outcome`,
+    whose id is the dotted name with the test's own once. White space is Unicode's, names may have any letters. Partial maxima, one
+    shuffle by log and test.
     """
-    raw = F.trim(F.col("raw"))
-    test = r"([\w./\\-]+\.py(?:::[^\s:]+)+)"
-    word = "(" + "|".join(RUNNER_WORDS) + r")\b"
-    unit = r"^(\w+)\s+\(([\w.]+)\)(?:\s+\[[^\]]*\])?\s+\.\.\.\s+(" + "|".join(UNIT_WORDS) + r")\b"
-    part = lambda p, k: F.regexp_extract(raw, p, k)
-    before, after = f"^{test}\\s+{word}", f"^{word}\\s+{test}"
-    name, dotted = part(unit, 1), part(unit, 2)
-    found = (
-        F.when(raw.rlike(before), F.struct(F.replace(part(before, 1), F.lit("\\"), F.lit("/")).alias("test"), _named(RUNNER_WORDS, part(before, 2)).alias("outcome")))
-        .when(raw.rlike(after), F.struct(F.replace(part(after, 2), F.lit("\\"), F.lit("/")).alias("test"), _named(RUNNER_WORDS, part(after, 1)).alias("outcome")))
-        .when(raw.rlike(unit), F.struct(F.when(F.endswith(dotted, F.concat(F.lit("."), name)), dotted).otherwise(F.concat_ws(".", dotted, name)).alias("test"), _named(UNIT_WORDS, part(unit, 3)).alias("outcome")))
-    )
-    lines = logs.select(key, F.explode(lines_of(F.col(text))).alias("raw")).select(key, found.alias("f")).where("f is not null")
+    words = F.split("raw", GAP, 3)
+    first, second, rest = (F.coalesce(F.get(words, i), F.lit("")) for i in range(3))
+    lead = lambda w: _named(RUNNER_WORDS, F.regexp_extract(w, r"(?U)^\w+", 0))
+    row = lambda test, outcome: F.when(test.isNotNull() & outcome.isNotNull(), F.struct(test.alias("test"), outcome.alias("outcome")))
+    dotted = F.substr(second, F.lit(2), F.greatest(F.length(second) - 2, F.lit(0)))
+    is_unit = second.startswith("(") & second.endswith(")") & (dotted != "") & ~dotted.rlike(r"(?U)[^\w.]") & (first != "") & ~first.rlike(r"(?U)\W")
+    unit = F.when(is_unit, F.when(F.endswith(dotted, F.concat(F.lit("."), first)), dotted).otherwise(F.concat_ws(".", dotted, first)))
+    found = F.coalesce(row(_node_id(first, True), lead(second)), row(_node_id(second, False), _named(RUNNER_WORDS, first)), row(unit, _outcome_of_unit(rest)))
+    lines = logs.select(key, F.explode(lines_of(F.col(text))).alias("raw")).select(key, strip(F.col("raw")).alias("raw"))
+    lines = lines.select(key, found.alias("f")).where("f is not null")
     rank = F.when(F.col("f.outcome") == "failed", 3).when(F.col("f.outcome") == "passed", 2).otherwise(1)
     return lines.groupBy(key, F.col("f.test").alias("test")).agg(F.max_by(F.col("f.outcome"), rank).alias("outcome"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlytics.functions.strings import strip
+
 #: Fixed value: what ends a line, CRLF first.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
@@ -28,7 +30,7 @@ def added_lines(diffs: DataFrame, case: str = "case_id", text: str = "diff") ->
     raw = F.col("raw")
     hunk = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
     is_hunk, is_file = hunk != "", raw.startswith("+++ ")
-    name = F.regexp_replace(F.trim(F.substring("raw", 5, 1 << 20)), "^b/", "")
+    name = F.regexp_replace(strip(F.substring("raw", 5, 1 << 20)), "^b/", "")
     rows = rows.withColumns({
         "path": F.last(F.when(is_file, name), True).over(so_far),
         "state": F.last(F.when(is_file, F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("first"))).when(is_hunk, F.struct(F.lit(True).alias("inside"), hunk.cast("long").alias("first"))), True).over(so_far),
@@ -44,9 +46,10 @@ def added_lines(diffs: DataFrame, case: str = "case_id", text: str = "diff") ->
 
 def split_by_file(diffs: DataFrame, case: str = "case_id", text: str = "diff") -> DataFrame:
     """case, at (from 0), path, chunk: a diff's text from one file header to the next; the path is the new one."""
-    parts = F.regexp_extract_all(F.array_join(F.transform(lines_of(F.col(text)), lambda x: F.concat(x, F.lit("\n"))), ""), F.lit(r"(?m)^diff --git a/.* b/.*\n(?:(?!diff --git a/).*\n)*"), F.lit(0))
+    whole = F.array_join(F.transform(lines_of(F.col(text)), lambda x: F.concat(x, F.lit("\n"))), "")
+    parts = F.filter(F.split(whole, r"(?md)^(?=diff --git a/.* b/)", -1), lambda x: x.rlike(r"^diff --git a/.* b/"))
     rows = diffs.select(case, F.posexplode(parts).alias("at", "chunk"))
-    return rows.select(case, F.col("at").cast("long").alias("at"), F.trim(F.regexp_extract("chunk", r"^diff --git a/.* b/(.*)\n", 1)).alias("path"), "chunk")
+    return rows.select(case, F.col("at").cast("long").alias("at"), strip(F.regexp_extract("chunk", r"(?d)^diff --git a/.* b/(.*)\n", 1)).alias("path"), "chunk")
 
 
 def change_fingerprint(text: Column) -> Column:

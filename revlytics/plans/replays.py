@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlytics.functions.strings import strip
 from revlytics.functions.metrics import ratio
 from revlytics.operators import matching
 from revlytics.operators.diffs import lines_of
@@ -163,7 +164,7 @@ def worksheet_records(sheets: DataFrame, sheet: str, text: str, opens: str = "ca
     """
     pair = r"^([A-Za-z_]+):[ \t]*(.*)$"
     lines = sheets.select(sheet, F.posexplode(lines_of(F.col(text))).alias("at", "raw")).where(F.col("raw").rlike(pair))
-    lines = lines.select(sheet, "at", F.regexp_extract("raw", pair, 1).alias("k"), F.trim(F.regexp_extract("raw", pair, 2)).alias("v"))
+    lines = lines.select(sheet, "at", F.regexp_extract("raw", pair, 1).alias("k"), strip(F.regexp_extract("raw", pair, 2)).alias("v"))
     so_far = Window.partitionBy(sheet).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.withColumn("record", F.count_if(F.col("k") == opens).over(so_far))
     last = placed.groupBy(sheet, "record", "k").agg(F.max_by("v", "at").alias("v"))

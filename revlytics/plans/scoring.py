@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revlytics.functions import texts, weakness
 from revlytics.functions.metrics import ratio
+from revlytics.functions.strings import strip
 from revlytics.operators import matching
 from revlytics.operators.diffs import split_by_file
 from revlytics.plans.corpus import _PATH, _diffs
@@ -16,7 +17,7 @@ from revlytics.plans.registry import query, table
 
 _RULES = ("weak-cipher-enabled", "x-CWE-89-concat", "cwe_400.loop", "CWE-601-open", "path-traversal", "http-range-unit", "none-handling", "style", "sql-injection-eval", "cwe-9999-race")
 _FAMILY_OF = ("crypto-weak", "injection", "resource-leak", "", "path-traversal", "protocol-state", "type-contract", "", "injection", "concurrency")
-_NUMBERS = ", ".join(f"({n}, '{f}')" for f, numbers in weakness.FAMILY_NUMBERS.items() for n in numbers)
+_NUMBERS = ", ".join(f"({name.removeprefix('CWE-')}, '{family}')" for name, family in weakness.WEAKNESS_FAMILY.items())
 
 
 def _nth(values: tuple, n: Column) -> Column:
@@ -140,14 +141,14 @@ def cause_paths(spark, sf):
     return table(spark, sf, "part").select("p_partkey", texts.cause_path(raw).alias("cause"))
 
 
-@query("""select p_partkey as run, unnest(['tests/a' || p_size || '.py::test_x', 'tests/b.py::T::test_y', 'tests.c.T.test_z', 'tests.d.T.test_w']) as test,
-unnest([case when p_partkey % 3 = 0 then 'failed' else 'passed' end, case when p_partkey % 2 = 0 then 'failed' else 'skipped' end, 'passed', 'skipped']) as outcome from part""")
+@query("""select p_partkey as run, unnest(['tests/a' || p_size || '.py::test_x', 'tests/b.py::T::test_y', 'tests.c.T.test_z', 'tests.d.T.test_w', 'tests/é' || p_size || '.py::test_ü']) as test,
+unnest([case when p_partkey % 3 = 0 then 'failed' else 'passed' end, case when p_partkey % 2 = 0 then 'failed' else 'skipped' end, 'passed', 'skipped', 'failed']) as outcome from part""")
 def parsed_test_outcomes(spark, sf):
     """Test logs parsed; verbose lines and the summary meet in one outcome a test."""
     k = F.col("p_partkey")
     log = F.concat_ws(
         "\n", F.lit("== session starts =="), F.format_string("tests\\a%d.py::test_x PASSED   [ 33%%]", "p_size"), F.lit("tests/b.py::T::test_y XFAIL [ 66%]"), F.lit("test_z (tests.c.T) ... ok"),
-        F.lit("test_w (tests.d.T.test_w) ... expected failure"), F.lit("  "), F.when(k % 3 == 0, F.format_string("FAILED tests/a%d.py::test_x - AssertionError", "p_size")), F.when(k % 2 == 0, F.lit("ERROR tests/b.py::T::test_y")), F.lit("== 1 failed ==\n"),
+        F.lit("test_w (tests.d.T.test_w) ... expected failure"), F.lit("  "), F.format_string("\t tests/é%d.py::test_ü\tFAILED", "p_size"), F.when(k % 3 == 0, F.format_string("FAILED tests/a%d.py::test_x - AssertionError", "p_size")), F.when(k % 2 == 0, F.lit("ERROR tests/b.py::T::test_y")), F.lit("== 1 failed ==\n"),
     )
     return texts.test_outcomes(table(spark, sf, "part").select(k.alias("run"), log.alias("log")), "run", "log")
 
@@ -175,10 +176,10 @@ def remembered(rows: DataFrame) -> DataFrame:
     The id is the SHA-256 of the JSON of what the memory says, keys in order, so that one said twice is one. Importance is held to 0..1,
     content to 8,000 characters without outer blanks; empty contents aren't kept. A memory with neither a time to live nor a working scope has no end.
     """
-    text = F.substring(F.trim("content"), 1, 8000)
+    text = F.substring(strip(F.col("content")), 1, 8000)
     said = F.to_json(F.struct(text.alias("content"), "kind", "repository", "scope", "tenant"))
     ttl = F.coalesce("ttl", F.when(F.col("scope") == "working", WORKING_SECONDS))
-    kept = rows.where(F.trim("content") != "").withColumns({"id": F.sha2(said, 256), "content": text, "importance": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance")))})
+    kept = rows.where(strip(F.col("content")) != "").withColumns({"id": F.sha2(said, 256), "content": text, "importance": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance")))})
     return kept.withColumn("expires", F.when(ttl != 0, F.col("created") + F.greatest(ttl, F.lit(1)))).groupBy("id").agg(F.max_by(F.struct("tenant", "repository", "scope", "kind", "content", "importance", "created", "expires"), "created").alias("m")).select("id", "m.*")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlytics.functions import texts, weakness
+from revlytics.operators import diffs
 from revlytics.plans import replays, scoring
 
 
@@ -46,6 +47,29 @@ def test_outcomes_of_a_log(spark):
     assert got == {"t/a.py::x[1-2]": "failed", "t/b.py::y": "failed", "m.T.y": "passed"}
 
 
+def test_outcomes_of_odd_logs(spark):
+    lines = {
+        "\ttests/a.py::t1 FAILED": ("tests/a.py::t1", "failed"), "tests/é.py::t3\u00a0FAILED": ("tests/é.py::t3", "failed"), "tests/b.py::K::t[x-1] PASSED   [ 33%]": ("tests/b.py::K::t[x-1]", "passed"),
+        "ERROR tests\\c.py::t4: boom": ("tests/c.py::t4", "failed"), "SKIPPED tests/d.py::K::t:x::y": ("tests/d.py::K::t", "skipped"), "prüfe (m.Ü) [note x] ... ok": ("m.Ü.prüfe", "passed"),
+        "t5 (m.K.t5)\t... expected failure": ("m.K.t5", "skipped"), "t6 (m.K) ... FAILED": None, "t7 (m.K) ...ok": None, "t8 (m.K)[x] ... ok": None, "a.py::t9 PASSEDX": None, "a.pyx::t PASSED": None,
+        ".py::t PASSED": None, "a.py PASSED": None, "a.py:: PASSED": None, "a.py::t:x PASSED": None, "FAILED a.py::": None, "t10 (m.K) [open ... ok": None, "t11 (m.K) ... okay": None, "x-y (m.K) ... ok": None, "PASSED": None, "": None,
+    }
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "k int, log string")
+    got = {r["k"]: (r["test"], r["outcome"]) for r in texts.test_outcomes(rows, "k", "log").collect()}
+    assert got == {i: want for i, want in enumerate(lines.values()) if want}
+
+
+def test_long_diffs_are_split(spark):
+    one = lambda name, n: f"diff --git a/{name} b/{name}\n@@ -1 +1,{n} @@\n" + "+line\n" * n
+    text = "no file yet\n" + one("a.py", 200_000) + one(" b c.py", 3)[:-1]
+    got = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "text only")], "case_id int, diff string")
+    rows = diffs.split_by_file(got).collect()
+    assert [(r["case_id"], r["at"], r["path"], r["chunk"].count("\n")) for r in rows] == [(1, 0, "a.py", 200_002), (1, 1, "b c.py", 5)]
+    assert rows[1]["chunk"].startswith("diff --git a/ b c.py")
+    mixed = spark.createDataFrame([(1, "diff --git a/x b/x\r\n+a\u2028+diff --git a/y b/y\u2028diff --git a/z b/z\n")], "case_id int, diff string")
+    assert [(r["path"], r["chunk"]) for r in diffs.split_by_file(mixed).collect()] == [("x", "diff --git a/x b/x\n+a\n+diff --git a/y b/y\n"), ("z", "diff --git a/z b/z\n")]
+
+
 def test_narrower_tiers_match_no_more(spark):
     found = spark.createDataFrame([(1, 3, 10, "CWE-89"), (1, 4, 11, "CWE-79"), (1, 9, 12, "CWE-601")], "case_id int, line long, p long, p_cwe string")
     truth = spark.createDataFrame([(1, 2, 3, 20, "CWE-78"), (1, 8, 8, 21, "CWE-601"), (1, 4, 4, 22, "CWE-89")], "case_id int, start long, end long, t long, t_cwe string")
