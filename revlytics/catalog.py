@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlytics.plans import changes, corpus, evaluation, governance, replays, scoring, store, streams  # noqa: F401
+from revlytics.plans import changes, corpus, evaluation, governance, replays, reviews, scoring, store, streams  # noqa: F401
 from revlytics.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "confusion_by_split"
