@@ -117,15 +117,19 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = 16, dim: int = 16, ep
     return Model((table_ @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
+#: Part of the sample's bytes that one text may take.
+LONGEST = 16
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8_000, max_bytes: int = 48 << 20, **training) -> Model:
     """Train on labelled documents in the order of their id's hash, as many as max_rows and max_bytes of text allow.
 
-    Rows without a 0 or 1 label or without text are passed over. The driver gets no more than max_rows labels and
-    sizes, and then max_bytes of texts.
+    Rows without a 0 or 1 label or without text, and texts of more than a LONGEST-th of max_bytes, are passed over: so LONGEST texts at least fit, if there are
+    as many. The driver gets no more than max_rows labels and sizes, and then max_bytes of texts.
     """
     marked = labels.select(at(id_col).alias("doc_id"), at(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    texts = docs.select(at(id_col).alias("doc_id"), at(text_col).cast("string").alias("text")).where("text is not null")
+    texts = docs.select(at(id_col).alias("doc_id"), at(text_col).cast("string").alias("text")).where(F.octet_length("text") <= max_bytes // LONGEST)
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.md5("text"), F.col("label")]
     rows = texts.join(F.broadcast(marked), "doc_id")  # at most max_rows are sent
     sizes = [r["n"] for r in rows.select(F.octet_length("text").alias("n"), *(c.alias(f"o{k}") for k, c in enumerate(order))).orderBy("o0", "o1", "o2", "o3").limit(max_rows).collect()]

@@ -498,3 +498,13 @@ def test_classifier_nasty(nasty, none):
 
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
+
+
+def test_a_very_long_text_does_not_end_the_sample(spark):
+    # Whichever comes first by hash: all long texts are passed over, and the rest is learned from.
+    good, bad = "a plain sentence of ordinary words that follow each other " * 4, "xx ## zz buy buy buy %% $$ qq " * 6
+    data = [(i, (good if i % 2 else bad) + str(i), i % 2) for i in range(60)] + [(100 + i, "word " * 4000, i % 2) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    model = quality_classifier.fit_quality(df, df.select("doc_id", "quality"), max_bytes=16 * 4096)
+    got = {r["doc_id"]: r["score"] for r in rows(quality_classifier.score_quality(df, model))}
+    assert np.mean([got[i] for i in range(1, 60, 2)]) > 0.7 > 0.3 > np.mean([got[i] for i in range(0, 60, 2)])
