@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from revlytics.plans.registry import query, table
+from revlytics.sources.lines import not_json, numbered_lines
 from revlytics.streaming.stateful import Rollout, rollouts, state_store
 
 #: Samples at least, rates of failures and disagreements at most.
@@ -54,3 +55,15 @@ def rollout_stream(spark, sf):
     out = rows.groupBy("key").agg(F.count("*").alias("events"), *counts, state.alias("s"))
     zero = [F.coalesce(F.col("s")[c], none).alias(c) for c in ("samples", "errors", "shadow_samples", "disagreements")]
     return out.select("key", "events", "staged", "refused", "rolled_back", "promoted", "s.status", "s.candidate", "s.stable", *zero)
+
+
+@query("""with d as (select doc_id % 4 as bucket, row_number() over (partition by doc_id % 4 order by doc_id) as line, case when doc_id % 7 = 0 then '  ' when doc_id % 13 = 0 then '{"doc_id":' || doc_id || ',}' else '{}' end as value from documents where doc_id is not null)
+select bucket, line, value from d where value not in ('  ', '{}')""")
+def bad_lines(spark, sf):
+    """Lines that aren't JSON, with their numbers, of four files of JSON lines that the documents are written to."""
+    k = F.col("doc_id")
+    rows = table(spark, sf, "documents").where("doc_id is not null").select((k % 4).alias("bucket"), "doc_id", F.when(k % 7 == 0, "  ").when(k % 13 == 0, F.format_string('{"doc_id":%d,}', k)).otherwise(F.to_json(F.struct("doc_id", "text"))).alias("value"))
+    folder = _shared_folder(spark)
+    rows.repartition(4, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(folder)
+    found = numbered_lines(spark, folder, not_json)
+    return found.select(F.regexp_extract("file", r"bucket=(\d+)/", 1).cast("long").alias("bucket"), "line", "value")
