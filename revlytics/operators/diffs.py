@@ -44,12 +44,17 @@ def added_lines(diffs: DataFrame, case: str = "case_id", text: str = "diff") ->
     return rows.where(added & ~is_file & F.col("state.inside")).select(case, F.when(F.col("path") != "", F.col("path")).otherwise("unknown").alias("path"), "line", F.substring("raw", 2, 1 << 30).alias("content"))
 
 
+def file_chunks(diff: Column) -> Column:
+    """array<path, chunk> of a diff's files."""
+    whole = F.array_join(F.transform(lines_of(F.coalesce(diff, F.lit(""))), lambda x: F.concat(x, F.lit("\n"))), "")
+    parts = F.filter(F.split(whole, r"(?md)^(?=diff --git a/.+? b/.)", -1), lambda x: x.rlike(r"^diff --git a/.+? b/."))
+    return F.transform(parts, lambda x: F.struct(strip(F.regexp_extract(x, r"(?d)^diff --git a/.+? b/(.+)\n", 1)).alias("path"), x.alias("chunk")))
+
+
 def split_by_file(diffs: DataFrame, case: str = "case_id", text: str = "diff") -> DataFrame:
     """case, at (from 0), path, chunk: a diff's text from one file header to the next; the path is the new one."""
-    whole = F.array_join(F.transform(lines_of(F.col(text)), lambda x: F.concat(x, F.lit("\n"))), "")
-    parts = F.filter(F.split(whole, r"(?md)^(?=diff --git a/.* b/)", -1), lambda x: x.rlike(r"^diff --git a/.* b/"))
-    rows = diffs.select(case, F.posexplode(parts).alias("at", "chunk"))
-    return rows.select(case, F.col("at").cast("long").alias("at"), strip(F.regexp_extract("chunk", r"(?d)^diff --git a/.* b/(.*)\n", 1)).alias("path"), "chunk")
+    rows = diffs.select(case, F.posexplode(file_chunks(F.col(text))).alias("at", "file"))
+    return rows.select(case, F.col("at").cast("long").alias("at"), "file.path", "file.chunk")
 
 
 def change_fingerprint(text: Column) -> Column:
