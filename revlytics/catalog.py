@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlytics.plans import building, changes, corpus, evaluation, governance, prompting, replays, reviews, scoring, store, streams  # noqa: F401
+from revlytics.plans import building, changes, corpus, evaluation, governance, outcomes, prompting, replays, reviews, scoring, store, streams  # noqa: F401
 from revlytics.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "confusion_by_split"

@@ -163,11 +163,28 @@ def match_max(spark, sf):
     return matching.match(interval_edges(spark, sf), "case_id", matching.max_matching)
 
 
-@query()
+@query(f"""with recursive {_SIDES}, e as (select case_id, p, t, greatest(0, s - line, line - e) as d from p join t using (case_id) where greatest(0, s - line, line - e) <= 2),
+o as (select case_id, t, list(p order by d, p) as opts, row_number() over (partition by case_id order by t) as rn from e group by case_id, t),
+m as (select case_id, 0::bigint as rn, []::bigint[] as used, null::bigint as t, null::bigint as p from (select distinct case_id from o) union all
+select case_id, rn, case when p is null then used else list_append(used, p) end, t, p from (select m.case_id, o.rn, m.used, o.t, list_filter(o.opts, lambda x: not list_contains(m.used, x))[1] as p from m join o on o.case_id = m.case_id and o.rn = m.rn + 1))
+select case_id, t, p from m where p is not null""")
 def match_nearest(spark, sf):
     return matching.match(interval_edges(spark, sf), "case_id", matching.nearest_matching)
 
 
+@query(f"""with recursive {_SIDES}, q as (select *, row_number() over (partition by case_id order by line, p) as rn from p),
+m as (select case_id, 0::bigint as rn, []::bigint[] as used, null::bigint as t from (select distinct case_id from q) union all
+select case_id, rn, case when t is null then used else list_append(used, t) end, t from (select m.case_id, m.rn + 1 as rn, any_value(m.used) as used, arg_min(t.t, (t.e + 2) * 1000000000 + t.t) filter (where t.s - 2 <= q.line and q.line <= t.e + 2 and not list_contains(m.used, t.t)) as t
+ from m join q on q.case_id = m.case_id and q.rn = m.rn + 1 left join t on t.case_id = m.case_id group by m.case_id, m.rn))
+select case_id, count(t)::bigint as matched, (select count(*) from t where t.case_id = m.case_id)::bigint - count(t)::bigint as missed, max(rn)::bigint - count(t)::bigint as extra from m group by case_id""")
+def matching_sizes(spark, sf):
+    """How many truths of each case with predictions a maximum matching finds and misses, and how many predictions are left over."""
+    found, truth = _sides(spark, sf)
+    many = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
+    rows = many(found, "f").join(many(truth, "e"), "case_id", "left").join(many(match_max(spark, sf), "matched"), "case_id", "left").na.fill(0)
+    return rows.select("case_id", "matched", (F.col("e") - F.col("matched")).alias("missed"), (F.col("f") - F.col("matched")).alias("extra"))
+
+
 @query()
 def unmatched_both_sides(spark, sf):
     """Truths nobody found (false negatives) and predictions without a truth (false positives)."""
