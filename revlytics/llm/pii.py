@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates, in DataFrame functions only.
 
-1. One pattern finds e-mail and IP addresses, phone, card, identity and bank account numbers, and names
-   after a title, in whole texts. It runs once over a text; the text's pieces (gaps and finds in turn) are kept.
+1. One pattern finds e-mail addresses (in any script), IP addresses of both lengths, phone, card, identity and bank account numbers, and names
+   after a title (in capitals too, with initials, known second names and particles), in whole texts. It runs once over a text; the text's pieces (gaps and finds in turn) are kept.
 2. Each distinct entity (in a normal form, so that spellings of one entity stay one) gets a surrogate
    from SHA-256 of a secret key, its kind and itself: digits for digits, letters of the same case and
    script for letters, country and network prefixes kept, check digits valid where they were. Given and family names are
@@ -20,11 +20,12 @@ values; a count whose name (n_email, ...) docs has already is called n_email_. T
 from __future__ import annotations
 
 import hashlib
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlytics.llm.common import at, carried, free_name, restored, stage, table
+from revlytics.llm.common import at, carried, free_name, restored, scratch_dir, stage, table
 
 # Titles by gender, and first names by gender and script.
 TITLES = {
@@ -44,21 +45,30 @@ FIRST_NAMES = {
     "Gu": "Αλέξης Άρης",
 }
 SYLLABLES = {"L": "ba da fe ga ho ka le ma ni or pe ra si ta vo zu", "C": "ба да фе га хо ка ле ма ни ор пе ра си та во зу", "G": "βα δα φε γα χο κα λε μα νι ορ πε ρα σι τα βο ζυ"}
+#: What stands before a family name and belongs to it.
+PARTICLES = "de|da|do|dos|das|di|del|della|du|la|le|van|von|vom|der|den|ten|ter|zu|zur|af|bin|ibn|el|al|y"
+_TITLE = "(?i:" + "|".join(TITLES.values()) + ")"
+_WORD, _INITIAL = r"\p{Lu}[\p{L}'’-]+", r"\p{Lu}\."
+_GIVEN = "(?:" + "|".join(" ".join(FIRST_NAMES.values()).split()) + r")(?![\p{L}'’-])"
+#: One given name and perhaps more that are known ones or initials, particles, a family name; or a family name alone.
+_NAME = rf"(?:(?:{_WORD}|{_INITIAL})(?: (?:{_GIVEN}|{_INITIAL}))*(?: (?:{PARTICLES}))* {_WORD}|(?:(?:{PARTICLES}) )*{_WORD})"
+_HEX = "[0-9A-Fa-f]{1,4}"
 # The kinds' patterns, in the order in which they are tried.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w+.-])(?:\+1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+1 [0-9]{3} [0-9]{3} [0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(0\))?[ .-]?[0-9](?:[ .-][0-9]{2,4}){3,4}(?![0-9])|(?<![\w+])\+(?!1[ (])[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
-    "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w+.-])(?:\+1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+1 [0-9]{3} [0-9]{3} [0-9]{4}(?![0-9])|(?<![\w+.-])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?![\w-]| [0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(0\))?[ .-]?[0-9](?:[ .-][0-9]{2,4}){3,4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}[ .-]?\(0\)[ .-]?[0-9]{1,5}(?:[ .-]?[0-9]{2,8}){1,4}(?![0-9])|(?<![\w+])\+(?!1[ (])[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
+    # The second form: eight groups, or fewer around a double colon with three colons in all.
+    "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])|(?<![\w:.])(?=(?:[0-9A-Fa-f]*:){{3}})(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])",
     "card": r"(?<!\w)(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?!\w)",
-    "identity": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "identity": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])|(?<![\w-])(?<![0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?![\w-]| [0-9])",
     "account": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "name": r"(?<![\p{L}\p{N}])(?:" + "|".join(TITLES.values()) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? {_NAME}",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 #: A text without one of these holds no entity; cheaper to look for.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}|(?:" + "|".join(TITLES.values()) + r")\.? \p{Lu}"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}|:[0-9A-Fa-f]{0,4}:|" + _TITLE + r"\.? \p{L}"
 MOST_DRAWS = 64
 #: Draws from which surrogates grow.
 GROW = 8
@@ -80,7 +90,7 @@ def normal(kind: Column, found: Column) -> Column:
     """What spellings of one entity share; of a name the family name with its script."""
     digits = F.regexp_replace(found, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(found)).when(kind == "ip", found).when(kind == "account", F.regexp_replace(found, " ", ""))
+        F.when(kind.isin("email", "ip"), F.lower(found)).when(kind == "account", F.regexp_replace(found, " ", ""))
         .when(kind == "name", F.concat(_script(found), F.lit("-:"), F.element_at(F.split(found, " "), -1)))
         .when((kind == "phone") & ~found.startswith("+"), F.concat(F.lit("1"), digits))
         .otherwise(digits)
@@ -93,7 +103,7 @@ def _script(name: Column) -> Column:
 
 
 def _gender(found: Column) -> Column:
-    return F.when(found.rlike(f"^(?:{TITLES['f']})\\.? "), "f").when(found.rlike(f"^(?:{TITLES['m']})\\.? "), "m").otherwise("u")
+    return F.when(found.rlike(f"^(?i:{TITLES['f']})\\.? "), "f").when(found.rlike(f"^(?i:{TITLES['m']})\\.? "), "m").otherwise("u")
 
 
 def _stream(key: str) -> str:
@@ -135,7 +145,7 @@ def _like(s: str, offset: int) -> str:
     b = _byte(f"i + {offset}")
     return (
         f"array_join(transform(sequence(1, length({s})), i -> case when {c} between '0' and '9' then cast({b} % 10 as string) "
-        f"when {c} between 'a' and 'z' then char(97 + {b} % 26) when {c} between 'A' and 'Z' then char(65 + {b} % 26) else {c} end), '')"
+        f"when {c} between 'a' and 'z' then char(97 + {b} % 26) when {c} between 'A' and 'Z' then char(65 + {b} % 26) when {c} rlike '[^\\\\x00-\\\\x7F]' then char(97 + {b} % 26) else {c} end), '')"
     )
 
 
@@ -167,7 +177,7 @@ def _address() -> str:
     wide = "concat('fd', substr(h, 1, 2), ':', substr(h, 3, 4), ':', substr(h, 7, 4), '::', substr(h, 11, 4), ':', substr(h, 15, 4))"
     private = f"entity like '10.%' or draw >= {GROW}"
     return (
-        f"case when draw >= {2 * GROW} then {wide} when {private} then concat_ws('.', '10', {b[0]}, {b[1]}, {last}) when entity like '192.168.%' then concat_ws('.', '192.168', {b[1]}, {last}) "
+        f"case when draw >= {2 * GROW} or entity like '%:%' then {wide} when {private} then concat_ws('.', '10', {b[0]}, {b[1]}, {last}) when entity like '192.168.%' then concat_ws('.', '192.168', {b[1]}, {last}) "
         f"when entity rlike '^172[.](1[6-9]|2[0-9]|3[01])[.]' then concat_ws('.', '172', cast(16 + {_byte('10')} % 16 as string), {b[1]}, {last}) "
         f"when entity like '169.254.%' then concat_ws('.', '169.254', {b[1]}, {last}) when entity like '127.%' then concat_ws('.', '127', {b[0]}, {b[1]}, {last}) "
         f"else concat_ws('.', cast({public} as string), {b[0]}, {b[1]}, {last}) end"
@@ -182,7 +192,7 @@ def drawn(pending: DataFrame, key: str) -> DataFrame:
     full = pending.withColumn("h", F.expr(_stream(key)))
     full = full.withColumn(
         "surrogate",
-        F.when(F.col("kind") == "email", F.expr(f"concat({_like("split_part(entity, '@', 1)", 0)}, {longer}, '@', 'm', lower(left(sha2(concat('{key}', split_part(entity, '@', 2)), 256), 6)), '.example.', element_at(split(entity, '[.]'), -1))"))
+        F.when(F.col("kind") == "email", F.expr(f"concat({_like("split_part(entity, '@', 1)", 0)}, {longer}, '@', 'm', lower(left(sha2(concat('{key}', split_part(entity, '@', 2)), 256), 16)), '.example.', element_at(split(entity, '[.]'), -1))"))
         .when(F.col("kind").isin("phone", "card"), F.expr(_digits(1, length)))
         .when(F.col("kind") == "ip", F.expr(_address()))
         .when(F.col("kind") == "identity", F.expr(f"concat('9', array_join(transform(sequence(1, 8 + {_more()}), i -> cast({_byte('i')} % 10 as string)), ''))"))
@@ -242,7 +252,7 @@ def pieces(text: Column) -> Column:
 def _named(found: DataFrame) -> DataFrame:
     """finds with given: the entity of a name's given name (script, gender, name), else null. The gender is the title's, or the only one that the corpus has."""
     words, is_name = F.split("found", " "), F.col("kind") == "name"
-    first = F.when(is_name & (F.size(words) > 2), F.get(words, 1))
+    first = F.when(is_name & (F.size(words) > 2) & ~F.get(words, 1).rlike(f"^(?:{PARTICLES})$"), F.get(words, 1))
     found = found.withColumns({"first": first, "gender": F.when(is_name, _gender(F.col("found"))), "script": F.when(is_name, _script(F.col("found")))})
     sexes = found.where("first is not null").groupBy("script", "first").agg(F.bool_or(F.col("gender") == "f").alias("f"), F.bool_or(F.col("gender") == "m").alias("m"))
     one = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("u")
@@ -292,8 +302,25 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     return clean.unionByName(done).select(*restored(docs, text_col, F.col("text")), *shown_counts)
 
 
+def own_key(spark: SparkSession) -> str:
+    """The session's revlytics.pii.key; where it is unset, a random key that is drawn once and kept in the shared folder."""
+    given = spark.conf.get("revlytics.pii.key", None)
+    if given:
+        return given
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(f"{scratch_dir(spark)}/pii-key")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        out = store.create(path, False)  # fails if another has drawn one meanwhile
+        out.writeUTF(secrets.token_hex(32))
+        out.close()
+    held = store.open(path)
+    try:
+        return held.readUTF()
+    finally:
+        held.close()
+
+
 def op8_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    """The key is the session's revlytics.pii.key; the one named here serves tests only."""
-    key = spark.conf.get("revlytics.pii.key", "corpus-key-1")
-    out = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    out = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), own_key(spark))
     return out.withColumn("n_entities", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long")))

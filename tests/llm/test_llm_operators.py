@@ -374,7 +374,7 @@ def test_surrogates_keep_type_format_and_identity(spark):
     again = {r["doc_id"]: r["text"] for r in rows(pii.replace_pii(df, "other"))}
     assert all(got[i] != texts[i] and got[i] != again[i] for i in got)
     a, b, c = re.findall(r"\S+@[\w.]+\w", got[0])
-    assert a == b != c and re.fullmatch(r"[a-z]{3}\.[a-z]{5}\d\d@m[0-9a-f]{6}\.example\.com", a)
+    assert a == b != c and re.fullmatch(r"[a-z]{3}\.[a-z]{5}\d\d@m[0-9a-f]{16}\.example\.com", a)
     a, b = re.findall(r"\(\d{3}\) \d{3}-\d{4}", got[1])
     assert a == b and got[1].endswith("now 999") and got[1].startswith("Call +1 (")
     a, b, c = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", got[2])
