@@ -11,7 +11,8 @@ ranges depends on `shards`, not on the data. Within the capacity found, cuts are
 even sizes, so that a very large group doesn't leave shards empty.
 
 Nulls count as empty texts (size `overhead`), an empty table gives an empty result, repeated rows get
-a slot each, ties in doc_id are broken by size and hash.
+a slot each, ties in doc_id are broken by size, hash and the number that a row gets as it is written: by that number
+rows alike, and rows without an id, are dealt out to blocks like any others.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> DataFra
         (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -151,11 +153,11 @@ def minimax_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     for k in keys:
         shard = shard + (F.lit(0) if k is None else (F.col("key") >= F.lit(k)).cast("int"))
     blocks = max(64, base.count() // (shards * BLOCK_ROWS))
-    placed = base.withColumn("shard", shard).withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)))
+    placed = base.withColumn("shard", shard).withColumn("block", F.pmod(F.xxhash64("doc_id", "key", "row"), F.lit(blocks)))
     counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "key")
+    inside = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "key", "row")
     return (
         placed.withColumn("place", F.row_number().over(inside) - 1)
         .join(starts, ["shard", "block"])
