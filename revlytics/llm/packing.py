@@ -258,16 +258,17 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0,
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, **options) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+    """The pieces with sequence_id and offset. Rows are numbered as they are written, so that rows alike are dealt out too."""
+    names, pieces = pieces.columns, stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}  # at most `capacity` rows
     plan = make_plan(counts, capacity, **options)
     blocks = max(16, sum(counts.values()) // BLOCK_ROWS)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(blocks)))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "block").agg(F.count("*").alias("n")).select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32", "_row")
     ranked = dealt.withColumn("place", F.row_number().over(inside) - 1).join(starts, ["length", "block"])
-    ranked = ranked.select(*pieces.columns, (F.col("begin") + F.col("place")).alias("rank"))
+    ranked = ranked.select(*names, (F.col("begin") + F.col("place")).alias("rank"))
     shared = pieces.sparkSession.sparkContext.broadcast(plan)  # its size depends on the capacity, not on the documents
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +277,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, **options) -> DataFrame:
             seq, off = held.look_up(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    kinds = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in names)
     return ranked.mapInArrow(place, kinds + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(stage(pieces_of(docs, path, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return pack(pieces_of(docs, path, capacity, end_id, id_col, text_col), capacity)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
