@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlytics.operators import feedback
+from revlytics.operators.learning import learned_rules, without_deleted
 from revlytics.plans.corpus import _PATH, _diffs
 from revlytics.plans.registry import query, table
 
@@ -118,3 +119,40 @@ def reflection_attempts(spark, sf):
     causes = _feedback(spark, sf).where("category = 'missed_issue'")
     out = feedback.prior_attempts(_attempts(spark, sf), causes, F.lit(1), 25)
     return out.select("row", "cause", "run_id", "tries", "place", "considered")
+
+
+_TEXTS = ("eval(x)", " eval(y) ", "", "a\nb", "os.system(c)")
+
+
+def _told(spark, sf) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(k.alias("at"), _pick(_CATEGORIES, k).alias("category"), F.when(k % 13 > 0, F.format_string(" rule-%d", F.col("o_custkey") % 200)).alias("rule_id"), _pick(_TEXTS, F.expr("o_orderkey div 7")).alias("evidence"), _pick(("low", "HIGH"), k).alias("severity"))
+
+
+_LEARNED = f"""with recursive e as (select o_orderkey as k, {_list(_CATEGORIES)}[o_orderkey % 7 + 1] as category, 'RULE-' || o_custkey % 200 as rule, o_orderkey % 13 > 0 as named, ['eval(x)', 'eval(y)', '', 'no', 'os.system(c)'][o_orderkey // 7 % 5 + 1] as match from orders),
+u as (select *, case when named and category = 'missed_issue' and match not in ('', 'no') then 'add' when named and category = 'false_positive' then 'remove' end as kind from e),
+q as (select *, row_number() over (partition by rule order by k) as rn from u where kind is not null),
+s as (select rule, 0::bigint as rn, null::bigint as k, case when i % 4 = 0 then ['eval(x)'] else []::varchar[] end as held, '' as outcome from (select distinct rule, substr(rule, 6)::int as i from q) union all
+select s.rule, q.rn, q.k, case when q.kind = 'remove' then [] when list_contains(s.held, q.match) then s.held else list_append(s.held, q.match) end, case when q.kind = 'remove' then case when len(s.held) > 0 then 'removed' else 'nothing-to-remove' end when list_contains(s.held, q.match) then 'known' else 'added' end from s join q on q.rule = s.rule and q.rn = s.rn + 1)"""
+
+
+@query(f"""{_LEARNED}, t as (select rule, arg_max(held, rn) as held from s group by rule union all select 'RULE-' || i, ['eval(x)'] from range(0, 200, 4) r(i) where 'RULE-' || i not in (select rule from s))
+select 'rule' as what, rule as rule_id, unnest(held) as of, 1::bigint as n from t union all select 'outcome', null, outcome, count(*)::bigint from s where k is not null group by outcome union all select 'outcome', null, 'ignored', count(*)::bigint from u where kind is null""")
+def learned_literals(spark, sf):
+    """Rules after all feedback, and how often each thing happened; every fourth rule has a literal before."""
+    rules = spark.range(0, 200, 4).select(F.format_string("RULE-%d", "id").alias("rule_id"), F.lit("eval(x)").alias("match"), F.lit("high").alias("severity"))
+    after, told = learned_rules(rules, _told(spark, sf))
+    by = told.groupBy("outcome").agg(F.count("*").alias("n"))
+    return after.select(F.lit("rule").alias("what"), "rule_id", F.col("match").alias("of"), F.lit(1).cast("long").alias("n")).unionByName(by.select(F.lit("outcome").alias("what"), F.lit(None).cast("string").alias("rule_id"), F.col("outcome").alias("of"), "n"))
+
+
+@query("""with r as (select o_orderkey as id, o_custkey as task, o_orderstatus as scope, o_orderkey as created, case when o_orderkey % 3 = 0 then o_orderkey % 20000 end as expires from orders),
+n as (select o_orderkey + 500 as seen, case when o_orderkey % 2 = 0 then o_custkey end as task, case when o_orderkey % 2 = 1 and o_orderkey % 5000 < 30 or o_orderkey % 8 = 0 then o_orderstatus end as scope from orders where o_orderkey % 40 = 1 or o_orderkey % 16 = 0)
+select id from r where not exists (select 1 from n where (n.task is not null or n.scope is not null) and n.seen >= r.created and (n.task is null or n.task = r.task) and (n.scope is null or n.scope = r.scope)) and (expires is null or expires > 9000)""")
+def rows_not_deleted(spark, sf):
+    """Rows that no later deletion by task, by scope or by both covers, and that haven't expired."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders")
+    held = o.select(k.alias("id"), F.col("o_custkey").alias("task"), F.col("o_orderstatus").alias("scope"), k.alias("created"), F.when(k % 3 == 0, k % 20000).alias("expires"))
+    notices = o.where("o_orderkey % 40 = 1 or o_orderkey % 16 = 0").select((k + 500).alias("at"), F.when(k % 2 == 0, F.col("o_custkey")).alias("task"), F.when((k % 2 == 1) & (k % 5000 < 30) | (k % 8 == 0), F.col("o_orderstatus")).alias("scope")).where("task is not null or scope is not null")
+    return without_deleted(held, notices, ["task", "scope"], F.lit(9000)).select("id")

@@ -39,7 +39,8 @@ class Rollout:
     stage: a candidate starts with its evidence at zero, unless one is running (the same one: nothing to do; another: refused). result:
     a canary's sample; beyond `most_errors` of `least` samples or more a running rollout is rolled back. shadow: a compared sample; a running
     rollout is promoted, if `promotes`, once it has `least` of them and neither rate is beyond its limit, at a sample that didn't fail. What was
-    rolled back or promoted stays so, though samples still count; events before any stage have no effect.
+    rolled back or promoted stays so, though samples still count; events before any stage have no effect. promote: a decision made elsewhere for one
+    candidate; it holds only if that one is still running, and keeps the evidence.
     """
 
     def __init__(self, least: int, most_errors: float, most_disagreement: float, promotes: bool):
@@ -51,6 +52,10 @@ class Rollout:
             if state and state[0] == "running":
                 return state, "already running" if state[1] == e["candidate"] else "refused"
             return ("running", e["candidate"], state[2] if state else None, 0, 0, 0, 0), "staged"
+        if e["kind"] == "promote":
+            if state is None or state[0] != "running" or state[1] != e["candidate"]:
+                return state, "refused"
+            return ("promoted", state[1], state[1], *state[3:]), "promoted"
         if state is None:
             return None, "ignored"
         status, candidate, stable, n, errors, shadow, differ = state
@@ -93,7 +98,7 @@ class _Rollouts(StatefulProcessor):
 def rollouts(events: DataFrame, rules: Rollout, every: bool = False) -> DataFrame:
     """key, event_id, what, and the rollout's state: a row for each change and, at a batch's end, each key that had events; `every`: for each event.
 
-    events: key, event_id, kind (stage, result, shadow), candidate, failed, disagreement; a stream, or a table (then one batch).
+    events: key, event_id, kind (stage, result, shadow, promote), candidate, failed, disagreement; a stream, or a table (then one batch).
     """
     rows = events.selectExpr("key", *ROLLOUT_EVENT.split(", "))
     return rows.groupBy("key").transformWithState(_Rollouts(rules, every), f"key {dict(events.dtypes)['key']}, event_id long, what string, {ROLLOUT}", "Append", "None")

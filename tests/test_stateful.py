@@ -21,6 +21,12 @@ def loop(events, least, most_errors, most_disagreement, promotes):
                 out[key] = {"status": "running", "candidate": candidate, "stable": s["stable"] if s else None, "n": 0, "e": 0, "s": 0, "d": 0, "log": [*(s["log"] if s else []), "staged"]}
             else:
                 s["log"].append("already running" if s["candidate"] == candidate else "refused")
+        elif kind == "promote":
+            if s and s["status"] == "running" and s["candidate"] == candidate:
+                s["status"], s["stable"] = "promoted", candidate
+                s["log"].append("promoted")
+            elif s:
+                s["log"].append("refused")
         elif s and kind == "result":
             s["n"] += 1
             s["e"] += bool(failed)
@@ -40,7 +46,7 @@ def loop(events, least, most_errors, most_disagreement, promotes):
 def test_rollouts_survive_a_restart(spark, tmp_path, promotes):
     rng = random.Random(6)
     keys = [f"t{i}" for i in range(12)]
-    events = [(rng.choice(keys), i, rng.choices(["stage", "result", "shadow"], [1, 12, 12])[0], rng.randrange(3), rng.random() < (0.1 + 0.02 * (i % 12)), rng.choice([None, 0.0, 0.0, 0.5])) for i in range(1500)]
+    events = [(rng.choice(keys), i, rng.choices(["stage", "result", "shadow", "promote"], [2, 24, 24, 1])[0], rng.randrange(3), rng.random() < (0.1 + 0.02 * (i % 12)), rng.choice([None, 0.0, 0.0, 0.5])) for i in range(1500)]
     rules = Rollout(20, 0.25, 0.5, promotes)
     with state_store(spark):
         for part in range(3):  # each time a new query from the same checkpoint
@@ -96,4 +102,5 @@ def test_a_step_keeps_what_ended():
     assert what == "rolled_back" and rules.step(back, e("shadow"))[0][0] == "rolled_back"
     again, what = rules.step(back, e("stage", 2))
     assert what == "staged" and again == ("running", 2, None, 0, 0, 0, 0)
+    assert rules.step(None, e("promote")) == (None, "refused") and rules.step(again, e("promote", 1)) == (again, "refused") and rules.step(again, e("promote", 2))[0][:3] == ("promoted", 2, 2)
     assert rules.step(again, e("shadow", failed=True))[1] == "counted" and rules.step(again, e("shadow"))[0][:3] == ("promoted", 2, 2)
