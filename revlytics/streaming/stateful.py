@@ -52,12 +52,12 @@ class Rollout:
             if state and state[0] == "running":
                 return state, "already running" if state[1] == e["candidate"] else "refused"
             return ("running", e["candidate"], state[2] if state else None, 0, 0, 0, 0), "staged"
+        if state is None:
+            return None, "ignored"
         if e["kind"] == "promote":
-            if state is None or state[0] != "running" or state[1] != e["candidate"]:
+            if state[0] != "running" or state[1] != e["candidate"]:
                 return state, "refused"
             return ("promoted", state[1], state[1], *state[3:]), "promoted"
-        if state is None:
-            return None, "ignored"
         status, candidate, stable, n, errors, shadow, differ = state
         what, failed = "counted", bool(e["failed"])
         if e["kind"] == "result":

@@ -102,5 +102,5 @@ def test_a_step_keeps_what_ended():
     assert what == "rolled_back" and rules.step(back, e("shadow"))[0][0] == "rolled_back"
     again, what = rules.step(back, e("stage", 2))
     assert what == "staged" and again == ("running", 2, None, 0, 0, 0, 0)
-    assert rules.step(None, e("promote")) == (None, "refused") and rules.step(again, e("promote", 1)) == (again, "refused") and rules.step(again, e("promote", 2))[0][:3] == ("promoted", 2, 2)
+    assert rules.step(None, e("promote")) == (None, "ignored") and rules.step(again, e("promote", 1)) == (again, "refused") and rules.step(again, e("promote", 2))[0][:3] == ("promoted", 2, 2)
     assert rules.step(again, e("shadow", failed=True))[1] == "counted" and rules.step(again, e("shadow"))[0][:3] == ("promoted", 2, 2)
