@@ -31,7 +31,9 @@ from revlytics.llm.common import at, release, slices, stage, table, utf8
 #: Characters without white space from which the tree is used, and of its leaves.
 LONG = 512
 #: Bytes of words and ids that a worker remembers, without Python's own.
-REMEMBERED = 16 << 20
+REMEMBERED = 64 << 20
+#: Bytes of text whose new words are encoded together.
+TOGETHER = 1 << 20
 #: Bytes of a text from which it is dealt to several tasks.
 PART_BYTES = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -223,7 +225,7 @@ def with_ids(docs: DataFrame, path: str, made, schema: str, id_col: str = "doc_i
         own = encoder(path)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TOGETHER):
                 ids = own.encode([data[offsets[n] : offsets[n + 1]].tobytes() for n in range(i, j)])
                 cols = made(batch.column("doc_id")[i:j], ids, own)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
