@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlytics.functions.metrics import bucket
@@ -124,10 +124,16 @@ def hash_sample(spark, sf):
     return table(spark, sf, "documents").select("doc_id", hash_order("s1", "doc_id").alias("h")).orderBy("h", "doc_id").limit(50).select("doc_id")
 
 
+def _first(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The first `most` of each key in hash order, with rn: a group limit, which tasks apply before rows are exchanged."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("h", "doc_id"))
+    return rows.withColumn("rn", place).where(F.col("rn") <= most)
+
+
 @query("""select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by md5('s2|' || doc_id::varchar), doc_id) rn from documents) where rn <= 10""")
 def stratified_sample(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", hash_order("s2", "doc_id").alias("h"))
-    return numbered_by_hash(docs, ["lang"], "h", "doc_id").where("rn <= 10").select("doc_id", "lang")
+    return _first(docs, "lang", 10).select("doc_id", "lang")
 
 
 @query("""select doc_id, source from (select doc_id, source, row_number() over (order by rn, md5('repo|' || source), doc_id) as place from (
@@ -135,7 +141,7 @@ select doc_id, source, row_number() over (partition by source order by md5('s3|'
 def roundrobin_sample(spark, sf):
     """Sources take turns: first by rank within the source, then by the source's hash."""
     docs = table(spark, sf, "documents").select("doc_id", "source", hash_order("s3", "doc_id").alias("h"))
-    ranked = numbered_by_hash(docs, ["source"], "h", "doc_id").where("rn <= 60")
+    ranked = _first(docs, "source", 60)
     return ranked.orderBy("rn", hash_order("repo", "source"), "doc_id").limit(60).select("doc_id", "source")
 
 
@@ -162,7 +168,7 @@ def stratified_select(spark, sf):
     pq = F.greatest(F.lit(1), F.least(pos, 40 - c0))
     wide = cases.agg(F.array(F.struct(F.lit(True).alias("positive"), pq.alias("quota")), F.struct(F.lit(False).alias("positive"), F.least(c0, pq).alias("quota"))).alias("q"))
     quotas = wide.select(F.inline("q"))
-    return numbered_by_hash(cases, ["positive"], "h", "doc_id").join(quotas, "positive").where("rn <= quota").select("doc_id", "positive")
+    return _first(cases, "positive", 40).join(quotas, "positive").where("rn <= quota").select("doc_id", "positive")
 
 
 _TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]{2,}'))"
