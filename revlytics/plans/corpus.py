@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlytics.functions.metrics import bucket
 from revlytics.operators import diffs, rules
 from revlytics.operators.numbering import hash_order, numbered_by_hash, running
+from revlytics.operators.recall import best_covering
 from revlytics.plans.registry import query, table
 
 _LINES = "(select doc_id, source, unnest(string_split(text, chr(10))) as content from documents)"
@@ -178,13 +179,9 @@ _TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]{2,}'))"
 s as (select item_id, doc_id, count(*) as shared, any_value(size) as size from q join d using (token) group by item_id, doc_id),
 r as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as rank from s) select item_id, doc_id, shared::bigint as shared, round(shared::double / size, 4) as coverage from r where rank <= 3""")
 def memory_recall(spark, sf):
-    """The three documents that cover most of each stated query's tokens. Only tokens that a query has leave a document's task."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_./:-]{2,}"), 0))
-    asked = table(spark, sf, "benchmark").select("item_id", F.explode(tokens).alias("token"), F.size(tokens).alias("size"))
-    held = table(spark, sf, "documents").select("doc_id", F.explode(tokens).alias("token"))
-    shared = held.join(asked, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))).where("rank <= 3")  # a group limit runs before the shuffle
-    return ranked.select("item_id", "doc_id", "shared", F.round(F.col("shared") / F.col("size"), 4).alias("coverage"))
+    """The three documents that cover most of each stated query's tokens; a task sends three documents a query."""
+    out = best_covering(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), 3)
+    return out.select(F.col("query").alias("item_id"), F.col("row").alias("doc_id"), "shared", F.round(F.col("shared") / F.col("size"), 4).alias("coverage"))
 
 
 @query("""select source, count(*)::bigint as kept, max(upto)::bigint as chars from (select source, sum(n_chars) over (partition by source order by md5('b|' || doc_id::varchar), doc_id) as upto from documents) where upto <= 50000 group by source""")
