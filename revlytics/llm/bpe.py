@@ -1,7 +1,7 @@
 """BPE encoding and decoding of whole texts with a public vocabulary.
 
-White space never enters a token of this vocabulary, so a text is encoded word by word, and a word's
-ids are remembered by the worker (bounded in bytes). Long unsplit text is encoded as a tree:
+White space never enters a token of this vocabulary, so a text is encoded word by word: the distinct words of some texts are looked up
+together, and a word's ids are remembered by the worker (bounded in bytes) from task to task, until another operator's task ends there. Long unsplit text is encoded as a tree:
 
 1. A text of more than `PART_BYTES` is cut into parts, after white space where there is some, else inside a run of letters,
    digits or symbols. Parts are Spark rows and are encoded in parallel by tasks.
@@ -22,21 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from revlytics.llm.common import at, release, slices, stage, table, utf8
+from revlytics.llm.common import at, holding, slices, stage, table, utf8
 
 #: Characters without white space from which the tree is used, and of its leaves.
 LONG = 512
 #: Bytes of words and ids that a worker remembers, without Python's own.
-REMEMBERED = 64 << 20
+REMEMBERED = 96 << 20
 #: Bytes of text whose new words are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 4 << 20
 #: Bytes of a text from which it is dealt to several tasks.
 PART_BYTES = 1 << 16
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,52 +59,79 @@ class Encoder:
         self.bare = [s.removesuffix("</w>") for s in self.shown]
         self.ends = np.array([s.endswith("</w>") for s in self.shown])
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
     # -- words
 
-    def _encode_words(self, words: set[bytes]) -> None:
-        plain, other = [], []
+    def _encode_words(self, words: list[str]) -> None:
+        known, plain, other, stopped = self.known, [], [], []
         for w in words:
-            text = w.decode()
-            if len(text) > LONG:
-                self.known[w] = self.stretch(text).tobytes()
-            elif text.isalpha() and max(text) < "\u0250" and text.islower():
+            if w[-1] in ".," and len(w) > 1 and w[-2] in _BEFORE_STOP and "<" not in w:
+                stopped.append(w)
+            elif w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0250") and len(w) <= LONG:
                 plain.append(w)  # one run of letters: its last id, and no other, ends a word
             else:
-                other.append((w, text))
+                other.append(w)
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) != len(part):
-                other += [(w, w.decode()) for w in part]
+                other += part
                 continue
             raw, at = ids.tobytes(), 0
             for w, b in zip(part, (stop * 4).tolist()):
-                self.known[w] = raw[at:b]
+                known[w] = raw[at:b]
                 at = b
-        for i in range(0, len(other), 1024):
-            part = other[i : i + 1024]
-            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text."""
+        short = []
+        for w in other:
+            if len(w) > LONG:
+                known[w] = self.stretch(w).tobytes()
+            else:
+                short.append(w)
+        for i in range(0, len(short), 1024):
+            part = short[i : i + 1024]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = np.array(e.ids, np.uint32).tobytes()
+        # A stop after a letter or digit is a run of its own.
+        heads = {h for w in stopped for h in (w[:-1], w[-1]) if h not in known}
+        if heads:
+            self._encode_words(list(heads))
+        for w in stopped:
+            known[w] = known[w[:-1]] + known[w[-1]]
+        self.held += sum(map(len, words)) + 240 * len(words)
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a string column without nulls: each distinct word of the column is looked up once."""
         if self.held > REMEMBERED:
             self.forget()
-        split = []
-        for t in texts:
-            if b"<|" not in t:  # the names of special tokens are matched as they are written
-                t = t.translate(_LOWER)
-            split.append(_STOPS.sub(rb"\1 \2", t).split())
-        new = set().union(*split) - self.known.keys()
+        texts = texts.cast(pa.large_string())
+        # The names of special tokens are matched as they are written.
+        named = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(named, texts, pc.ascii_lower(texts)))
+        coded = lists.values.dictionary_encode()
+        words, known = coded.dictionary.to_pylist(), self.known
+        known[""] = b""
+        new = [w for w in words if w not in known]
         if new:
             self._encode_words(new)
-            self.held += sum(len(w) + len(self.known[w]) + 160 for w in new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        held = [known[w] for w in words]
+        size = np.array([len(x) >> 2 for x in held] or [0], np.int64)
+        ids = np.frombuffer(b"".join(held), np.uint32)
+        start = np.cumsum(size) - size
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        count = size[which] if len(which) else np.zeros(0, np.int64)
+        ends = np.cumsum(count)
+        place = np.repeat(start[which] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0) if len(which) else np.zeros(0, np.int64)
+        raw = ids[place].tobytes()
+        cut = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+        cut = cut.tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        return self.encode_column(pa.array(texts, pa.binary()).cast(pa.string())) if texts else []
 
     def forget(self) -> None:
         self.known.clear()
@@ -178,7 +205,8 @@ class Encoder:
         return np.concatenate([x[:a], mid, y[b:]]).tobytes()
 
 
-_STOPS = re.compile(rb"([a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: What stands before a stop that is a run of its own.
+_BEFORE_STOP = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 # Runs inside which a text may be cut. Of letters and of symbols the two sides belong to one run; a digit is a run of its own.
 _IDEOGRAPH = rb"(?:\xe4[\xb8-\xbf]|[\xe5-\xe9][\x80-\xbf])[\x80-\xbf]"
 _CUT = re.compile(rb"(?P<run>[A-Za-z]{4}(?=[A-Za-z]{4})|[*_#=.~+-]{4}(?=[*_#=.~+-]{4})|(?:" + _IDEOGRAPH + rb"){4}(?=(?:" + _IDEOGRAPH + rb"){4}))|[0-9]{4}(?=[0-9]{4})")
@@ -186,9 +214,10 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder of a vocabulary file."""
+    """This worker's encoder of a vocabulary file. It remembers words from task to task, until a task of another operator ends here."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        holding(_encoders[path].forget)
     return _encoders[path]
 
 
@@ -224,13 +253,11 @@ def with_ids(docs: DataFrame, path: str, made, schema: str, id_col: str = "doc_i
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
+            _, offsets = utf8(batch.column("text"))
             for i, j in slices(offsets, TOGETHER):
-                ids = own.encode([data[offsets[n] : offsets[n + 1]].tobytes() for n in range(i, j)])
+                ids = own.encode_column(batch.column("text")[i:j])
                 cols = made(batch.column("doc_id")[i:j], ids, own)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-        own.forget()
-        release()
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -238,8 +265,6 @@ def with_ids(docs: DataFrame, path: str, made, schema: str, id_col: str = "doc_i
             ids = own.encode([t.encode() for t in batch.column("text").to_pylist()])
             columns = [*batch.drop_columns(["text"]).columns, pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*(n for n in batch.schema.names if n != "text"), "ids"])
-        own.forget()
-        release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

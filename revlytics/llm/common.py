@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -22,6 +22,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _written: list[str] = []
+_clears: list = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -73,9 +74,17 @@ def passing(spark: SparkSession):
             _delete(spark, path)
 
 
+def holding(clear: Callable[[], None]) -> None:
+    """Have `clear` called when another operator's task ends in this worker: for what is kept from task to task."""
+    if clear not in _clears:
+        _clears.append(clear)
+
+
 def release() -> None:
     """Give freed memory back to the system; workers are used again by other operators."""
     _powers.clear()
+    for clear in _clears:
+        clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
