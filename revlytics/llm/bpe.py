@@ -3,8 +3,8 @@
 White space never enters a token of this vocabulary, so a text is encoded word by word: the distinct words of some texts are looked up
 together, and a word's ids are remembered by the worker (bounded in bytes) from task to task, until another operator's task ends there. Long unsplit text is encoded as a tree:
 
-1. A text of more than `PART_BYTES` is cut into parts, after white space where there is some, else inside a run of letters,
-   digits or symbols. Parts are Spark rows and are encoded in parallel by tasks.
+1. A text of more than `PART_BYTES` is cut into parts, after white space where there is some, else inside a run of letters (of any script),
+   digits or other signs. Parts are Spark rows and are encoded in parallel by tasks.
 2. Neighbours are joined pairwise, halves of halves first. Where a run was cut, a window around the join is encoded anew and
    grown until it agrees with the left ids on its left side and with the right ids on its right side, so that only the join changes.
 3. What has no white space for `LONG` characters within a part is encoded as the same tree of leaves of that length; a task
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -207,9 +208,12 @@ class Encoder:
 
 #: What stands before a stop that is a run of its own.
 _BEFORE_STOP = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
-# Runs inside which a text may be cut. Of letters and of symbols the two sides belong to one run; a digit is a run of its own.
-_IDEOGRAPH = rb"(?:\xe4[\xb8-\xbf]|[\xe5-\xe9][\x80-\xbf])[\x80-\xbf]"
-_CUT = re.compile(rb"(?P<run>[A-Za-z]{4}(?=[A-Za-z]{4})|[*_#=.~+-]{4}(?=[*_#=.~+-]{4})|(?:" + _IDEOGRAPH + rb"){4}(?=(?:" + _IDEOGRAPH + rb"){4}))|[0-9]{4}(?=[0-9]{4})")
+# Runs inside which a text may be cut: letters of any script (but the Korean ones that combine), other signs. The two sides belong to one run; a digit is a run of its
+# own. No mark, which could combine with what stands before it, is near, nor an apostrophe, which may begin a run.
+_LETTER, _SIGN = r"[\p{L}--[\u1100-\u11ff\ua960-\ua97f\ud7b0-\ud7ff]]", r"[^\s\p{L}\p{N}\p{M}\p{C}'’]"
+_CUT = regex.compile(rf"(?V1)(?P<run>{_LETTER}{{4}}(?={_LETTER}{{4}})|{_SIGN}{{4}}(?={_SIGN}{{4}}))|[0-9]{{4}}(?=[0-9]{{4}})")
+#: Bytes in which a place to cut is looked for.
+_LOOK = 1 << 16
 _encoders: dict[str, Encoder] = {}
 
 
@@ -229,11 +233,14 @@ def cut_parts(text: bytes, limit: int) -> list[tuple[bytes, bool]]:
         for m in re.finditer(rb"[\x20\x09-\x0D]", text[at + limit // 2 : at + limit]):
             end = at + limit // 2 + m.end()
         if end is None:
-            for m in _CUT.finditer(text, at + limit // 2):
-                if b"<|" not in text[max(0, m.end() - 24) : m.end()]:
-                    end, next_glued = m.end(), m["run"] is not None
-                    break
-                if m.end() > at + 4 * limit:
+            start = at + limit // 2
+            while start < len(text) and text[start] & 0xC0 == 0x80:  # within a character
+                start += 1
+            part = text[start : start + max(_LOOK, 4 * limit)].decode("utf-8", "ignore")
+            before = text[max(0, start - 24) : start].decode("utf-8", "ignore")
+            for m in _CUT.finditer(part):
+                if "<|" not in (before + part[: m.end()])[-24:]:
+                    end, next_glued = start + len(part[: m.end()].encode()), m["run"] is not None
                     break
         if end is None:
             m = re.search(rb"[\x20\x09-\x0D]", text[at + limit :])
