@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlytics.plans import building, changes, corpus, evaluation, feedbacks, governance, outcomes, prompting, replays, reviews, scoring, sources, store, streams  # noqa: F401
+from revlytics.plans import auditing, building, changes, corpus, evaluation, feedbacks, governance, outcomes, prompting, replays, reviews, scoring, sources, store, streams  # noqa: F401
 from revlytics.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "confusion_by_split"
