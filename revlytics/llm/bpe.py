@@ -40,6 +40,13 @@ TOGETHER = 4 << 20
 PART_BYTES = 1 << 16
 
 
+#: Bytes with white space as blanks, and with A-Z in lower case too.
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[9:14] = 32
+_FOLDED = _SPACED.copy()
+_FOLDED[65:91] += 32
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -107,10 +114,13 @@ class Encoder:
         """Ids of each text of a string column without nulls: each distinct word of the column is looked up once."""
         if self.held > REMEMBERED:
             self.forget()
-        texts = texts.cast(pa.large_string())
+        data, offsets = utf8(texts)
+        flat = _FOLDED[data]
         # The names of special tokens are matched as they are written.
-        named = pc.match_substring(texts, "<|")
-        lists = pc.ascii_split_whitespace(pc.if_else(named, texts, pc.ascii_lower(texts)))
+        for n in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)) if b"<|" in data.tobytes() else ():
+            flat[offsets[n] : offsets[n + 1]] = _SPACED[data[offsets[n] : offsets[n + 1]]]
+        folded = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(flat))
+        lists = pc.split_pattern(folded, " ")
         coded = lists.values.dictionary_encode()
         words, known = coded.dictionary.to_pylist(), self.known
         known[""] = b""
@@ -132,7 +142,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
-        return self.encode_column(pa.array(texts, pa.binary()).cast(pa.string())) if texts else []
+        return self.encode_column(pa.array(texts, pa.binary()).cast(pa.string()))
 
     def forget(self) -> None:
         self.known.clear()

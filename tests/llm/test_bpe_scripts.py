@@ -37,3 +37,13 @@ def test_mixed_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: np.frombuffer(r["ids"], np.uint32).tolist() for r in bpe.encode_texts(df, bpe.vocabulary_path(), part_bytes=400).collect()}
     assert got == {i: own.tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_odd_words_are_those_of_the_tokenizer():
+    own = bpe.encoder(bpe.vocabulary_path())
+    odd = ["", " ", " x y\u0085z", "a\x1cb\x1fc", "​q", "x. y", "A<|endoftext|>B c.", "<|EndOfText|>", "don't I'll 's 'S", "..", "a..", "3.", "é.", "É,", "ａ.", "ǅ", "ﬁ.", "İ.", "ß", "x́.", "a,b,c,", "﻿a", "9,.", "z.,", "à b", "  a", "…à …", "\tA\n\x0bB\x0c\rC"]
+    odd += ["".join(random.Random(i).choices("ab.,9é  \n\t'<|>Źà…\u0085​  ", k=40)) for i in range(1500)]
+    for i in range(0, len(odd), 100):
+        got = own.encode([x.encode() for x in odd[i : i + 100]])
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [e.ids for e in own.tokenizer.encode_batch_fast(odd[i : i + 100], add_special_tokens=False)]
+    assert own.encode([]) == []
