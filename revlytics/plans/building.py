@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlytics.functions import screening
 from revlytics.operators import cases
-from revlytics.plans.registry import query, table
+from revlytics.operators.collecting import collected
+from revlytics.plans.registry import query, shared_folder, table
 
 _TITLES = (
     "Fix crash in parser {}", "fix: off-by-one in slice {}", "Add feature {}", "Revert \"fix {}\"", "[3.1{}] fix leak", "Backport fix {}", "v2.{}.1", "2.{}", "Upgrade to 2.{}", "upgrade header {} fixed", "docs: fix {}", "Comment {} broken",
@@ -111,3 +112,36 @@ def clean_case_funnel(spark, sf):
     out = cases.built_clean_cases(_pulls(spark, sf, _PLAIN), "validation", _CUTOFF, _AS_OF)
     by = out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason"), "repository").agg(F.count("*").alias("n"), F.min("pull_request").alias("first"))
     return by.groupBy("reason").agg(F.sum("n").alias("pulls"), F.count("*").alias("repositories"), F.min("first").alias("first"))
+
+
+_QUOTA, _CLEAN_QUOTA, _PAGES, _TARGET, _CLEAN_TARGET = 12, 6, 4, 150, 60
+_LISTED = """q as (select p_partkey as number, p_brand as repo, dense_rank() over (order by p_brand) - 1 as seq, row_number() over (partition by p_brand order by p_partkey) - 1 as i, p_size as s from part),
+u as (select *, i // 10 + 1 as page, i % 10 as place, case when number % 4 = 0 then 'excluded-keyword' end as fs, case when number % 7 = 0 then 'too-many-lines' end as fr, 'd' || s || '-' || number % 3 as fp, case when number % 3 = 0 then 'looks-like-a-bugfix' end as cs, case when number % 11 = 0 then 'cooldown-not-elapsed' end as cr, 'd' || s || '-' || number % 2 as cp from q)"""
+
+
+@query(f"""with recursive {_LISTED}, o as (select *, row_number() over (order by seq, page, place) as rn from u),
+s as (select 0::bigint as rn, -1::bigint as seq, 0 as fixes, 0 as cleans, 0 as all_fixes, 0 as all_cleans, false as ended, []::varchar[] as seen, null::bigint as number, null::varchar as kind, '' as fate union all
+select rn, seq, f0 + (fate = 'accepted' and kind = 'fix')::int, c0 + (fate = 'accepted' and kind = 'clean')::int, all_fixes + (fate = 'accepted' and kind = 'fix')::int, all_cleans + (fate = 'accepted' and kind = 'clean')::int, ended, case when fate = 'accepted' then list_append(seen, print) else seen end, number, case when fate <> 'not-reached' then kind end, fate from (
+ select *, case when ended or page > {_PAGES} or (f0 >= {_QUOTA} and c0 >= {_CLEAN_QUOTA}) then 'not-reached' when early is not null then early when late is not null then late when list_contains(seen, print) then 'duplicate-diff' else 'accepted' end as fate from (
+  select *, case when kind = 'fix' then fs else cs end as early, case when kind = 'fix' then fr else cr end as late, case when kind = 'fix' then fp else cp end as print from (
+   select o.*, s.seen, s.all_fixes, s.all_cleans, case when o.seq = s.seq then s.fixes else 0 end as f0, case when o.seq = s.seq then s.cleans else 0 end as c0, s.ended or (o.seq <> s.seq and s.seq >= 0 and s.all_fixes >= {_TARGET} and s.all_cleans >= {_CLEAN_TARGET}) as ended,
+    case when case when o.seq = s.seq then s.fixes else 0 end < {_QUOTA} then 'fix' else 'clean' end as kind from s join o on o.rn = s.rn + 1))))
+select number, kind, fate from s where rn > 0""")
+def collected_cases(spark, sf):
+    """What becomes of every part, taken for a change of its brand's repository: quotas, duplicates across repositories, totals."""
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    k = F.col("number")
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("number"), F.col("p_size").alias("s"), place.alias("i"))
+    pulls = rows.select(
+        "repo", (F.floor(F.col("i") / 10) + 1).cast("int").alias("page"), (F.col("i") % 10).alias("place"), k, F.when(k % 4 == 0, "excluded-keyword").alias("fix_screen"), F.when(k % 7 == 0, "too-many-lines").alias("fix_reason"), F.format_string("d%d-%d", "s", k % 3).alias("fix_print"),
+        F.when(k % 3 == 0, "looks-like-a-bugfix").alias("clean_screen"), F.when(k % 11 == 0, "cooldown-not-elapsed").alias("clean_reason"), F.format_string("d%d-%d", "s", k % 2).alias("clean_print"),
+    )
+    brands = rows.select("repo").distinct()
+    plan = brands.select("repo", (F.row_number().over(Window.orderBy("repo")) - 1).alias("seq"), F.lit(_QUOTA).alias("quota"), F.lit(_CLEAN_QUOTA).alias("clean_quota"), F.lit(_PAGES).alias("max_pages"))  # a row a repository
+    folder = shared_folder(spark)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return collected(pulls, plan, written, None, _TARGET, _CLEAN_TARGET).where("number is not null").select("number", "kind", "fate")

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from revlytics.plans.registry import query, table
+from revlytics.plans.registry import query, shared_folder, table
 from revlytics.sources.lines import not_json, numbered_lines
 from revlytics.streaming.stateful import Rollout, rollouts, state_store
 
@@ -15,16 +12,6 @@ from revlytics.streaming.stateful import Rollout, rollouts, state_store
 LEAST, ERRORS, DISAGREEMENT = 20, 0.21, 0.75
 
 
-def _shared_folder(spark) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; where that is unset, a temporary one, but only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-    return f"{named}/stream-{uuid.uuid4().hex}"
-
-
 @query(f"""with recursive e as (select user_id % 64 as key, event_id, case when event_id % 97 = 0 then 'stage' when event_type = 'purchase' then 'shadow' else 'result' end as kind, event_id % 5 as candidate, event_type = 'error' as failed, value > 50 as differs,
 row_number() over (partition by user_id % 64 order by event_id) as rn from events),
 s as (select key, 0::bigint as rn, null::bigint as event_id, null::varchar as status, null::bigint as candidate, null::bigint as stable, 0::bigint as n, 0::bigint as errors, 0::bigint as shadow, 0::bigint as differ, '' as what from (select distinct key from e) union all
@@ -44,7 +31,7 @@ def rollout_stream(spark, sf):
     log = table(spark, sf, "events").schema
     stream = spark.readStream.schema(log).parquet(f"{sf}/events.parquet*")  # a pattern, so that the table may be a file or a folder
     events = stream.select((F.col("user_id") % 64).alias("key"), "event_id", kind.alias("kind"), (F.col("event_id") % 5).alias("candidate"), (F.col("event_type") == "error").alias("failed"), (F.col("value") > 50).cast("double").alias("disagreement"))
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     with state_store(spark):
         run = rollouts(events, Rollout(LEAST, ERRORS, DISAGREEMENT, True), every=True)
         run.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
@@ -63,7 +50,7 @@ def bad_lines(spark, sf):
     """Lines that aren't JSON, with their numbers, of four files of JSON lines that the documents are written to."""
     k = F.col("doc_id")
     rows = table(spark, sf, "documents").where("doc_id is not null").select((k % 4).alias("bucket"), "doc_id", F.when(k % 7 == 0, "  ").when(k % 13 == 0, F.format_string('{"doc_id":%d,}', k)).otherwise(F.to_json(F.struct("doc_id", "text"))).alias("value"))
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     rows.repartition(4, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(folder)
     found = numbered_lines(spark, folder, not_json)
     return found.select(F.regexp_extract("file", r"bucket=(\d+)/", 1).cast("long").alias("bucket"), "line", "value")
