@@ -73,12 +73,13 @@ class Encoder:
     # -- words
 
     def _encode_words(self, words: list[str]) -> None:
-        known, plain, other, stopped = self.known, [], [], []
+        known, plain, other, signed = self.known, [], [], []
         for w in words:
-            if w[-1] in ".," and len(w) > 1 and w[-2] in _BEFORE_STOP and "<" not in w:
-                stopped.append(w)
-            elif w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0250") and len(w) <= LONG:
-                plain.append(w)  # one run of letters: its last id, and no other, ends a word
+            if w.isalpha():
+                # One run of letters: its last id, and no other, ends a word.
+                (plain if (w.isascii() or max(w) < "\u0250") and len(w) <= LONG else other).append(w)
+            elif (head := w.rstrip(_SIGNS)) and head is not w and head[-1] < "\u0250" and head[-1].isalnum() and head[-1] != "İ" and "<" not in w:
+                signed.append((w, head, w[len(head) :]))
             else:
                 other.append(w)
         for i in range(0, len(plain), 512):
@@ -102,12 +103,12 @@ class Encoder:
             part = short[i : i + 1024]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[w] = np.array(e.ids, np.uint32).tobytes()
-        # A stop after a letter or digit is a run of its own.
-        heads = {h for w in stopped for h in (w[:-1], w[-1]) if h not in known}
-        if heads:
-            self._encode_words(list(heads))
-        for w in stopped:
-            known[w] = known[w[:-1]] + known[w[-1]]
+        # Signs after a letter or digit are a run of their own.
+        parts = {p for _, head, tail in signed for p in (head, tail) if p not in known}
+        if parts:
+            self._encode_words(list(parts))
+        for w, head, tail in signed:
+            known[w] = known[head] + known[tail]
         self.held += sum(map(len, words)) + 240 * len(words)
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
@@ -216,8 +217,8 @@ class Encoder:
         return np.concatenate([x[:a], mid, y[b:]]).tobytes()
 
 
-#: What stands before a stop that is a run of its own.
-_BEFORE_STOP = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+#: Signs that are one run with others of them, and don't begin another kind of run.
+_SIGNS = ".,;:!?#$%*)"
 # Runs inside which a text may be cut: letters of any script (but the Korean ones that combine), other signs. The two sides belong to one run; a digit is a run of its
 # own. No mark, which could combine with what stands before it, is near, nor an apostrophe, which may begin a run.
 _LETTER, _SIGN = r"[\p{L}--[\u1100-\u11ff\ua960-\ua97f\ud7b0-\ud7ff]]", r"[^\s\p{L}\p{N}\p{M}\p{C}'’]"

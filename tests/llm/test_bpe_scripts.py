@@ -41,7 +41,7 @@ def test_mixed_text(spark):
 
 def test_odd_words_are_those_of_the_tokenizer():
     own = bpe.encoder(bpe.vocabulary_path())
-    odd = ["", " ", " x y\u0085z", "a\x1cb\x1fc", "​q", "x. y", "A<|endoftext|>B c.", "<|EndOfText|>", "don't I'll 's 'S", "..", "a..", "3.", "é.", "É,", "ａ.", "ǅ", "ﬁ.", "İ.", "ß", "x́.", "a,b,c,", "﻿a", "9,.", "z.,", "à b", "  a", "…à …", "\tA\n\x0bB\x0c\rC"]
+    odd = ["", " ", " x y\u0085z", "a\x1cb\x1fc", "​q", "x. y", "A<|endoftext|>B c.", "<|EndOfText|>", "don't I'll 's 'S", "..", "a..", "3.", "é.", "É,", "ａ.", "ǅ", "ﬁ.", "İ.", "ß", "x́.", "a,b,c,", "﻿a", "9,.", "z.,", "à b", "  a", "…à …", "\tA\n\x0bB\x0c\rC", "क़.", "İİ!!", "a1?!", "'.", "a'.", "é$$$", "$$$", "É", "ÀB", "x<.", "9%", "ſ.", "ŉ,"]
     odd += ["".join(random.Random(i).choices("ab.,9é  \n\t'<|>Źà…\u0085​  ", k=40)) for i in range(1500)]
     for i in range(0, len(odd), 100):
         got = own.encode([x.encode() for x in odd[i : i + 100]])
