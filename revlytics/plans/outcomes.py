@@ -51,9 +51,9 @@ def _results(spark, sf) -> DataFrame:
 
 _TIER = "case when k3 > 0 and k5 = 0 then 'unreproduced' when k11 = 0 or k7 = 0 then 'suggestion-only' when k4 > 0 then 'verified-draft' else 'blocked' end"
 _RESULTS = f"""with l as (select l_orderkey as case_id, l_suppkey % 2 as odd, l_partkey % 2 as path, l_linenumber::bigint as line, min(l_partkey) as k from lineitem group by all),
-f as (select * from l where odd = 1), t as (select * from l where odd = 0), w as (select case_id, count(*) as expected, count_if(k % 4 >= 2) as high_total from t group by all), g as (select case_id, count(*) as predicted from f group by all),
+f as (select * from l where odd = 1), t as (select * from l where odd = 0), w as (select case_id, count(*) as expected, count_if(k % 4 >= 2)::bigint as high_total from t group by all), g as (select case_id, count(*) as predicted from f group by all),
 m as (select t.case_id, t.k as a, f.k as b, t.case_id + t.line * 2 + t.path as key from t join f on f.case_id = t.case_id and f.path = t.path and f.line = t.line),
-h as (select case_id, count(*) as tp, count_if(a % 4 = b % 4) as severity_hits, count_if(a % 4 >= 2) as high_hits, {', '.join(f"count_if(tier = '{t}') as repair_{t.replace('-', '_')}" for t in results.REPAIR_TIERS)} from (select *, {_TIER} as tier from (select *, key % 3 as k3, key % 5 as k5, key % 11 as k11, key % 7 as k7, key % 4 as k4 from m)) group by all),
+h as (select case_id, count(*) as tp, count_if(a % 4 = b % 4)::bigint as severity_hits, count_if(a % 4 >= 2)::bigint as high_hits, {', '.join(f"count_if(tier = '{t}')::bigint as repair_{t.replace('-', '_')}" for t in results.REPAIR_TIERS)} from (select *, {_TIER} as tier from (select *, key % 3 as k3, key % 5 as k5, key % 11 as k11, key % 7 as k7, key % 4 as k4 from m)) group by all),
 c as (select o_orderkey as case_id, case when o_orderkey % 10 < 8 then 'validation' else 'holdout' end as split, o_orderkey % 13 = 0 as failed, (o_orderkey % 13 <> 0)::bigint as live from orders),
 r as (select c.case_id, split, coalesce(expected, 0) as expected, live * coalesce(predicted, 0) as predicted, live * coalesce(tp, 0) as tp, live * (coalesce(predicted, 0) - coalesce(tp, 0)) as fp, coalesce(expected, 0) - live * coalesce(tp, 0) as fn, live * coalesce(severity_hits, 0) as severity_hits,
  coalesce(high_total, 0) as high_total, live * coalesce(high_hits, 0) as high_hits, not failed and coalesce(expected, 0) = 0 and coalesce(predicted, 0) = 0 as clean_hit, not failed as execution_success, live * coalesce(tp, 0) as repair_attempted, live * coalesce(repair_verified_draft, 0) as repair_passed,
@@ -71,8 +71,8 @@ def _rate(n: str, d: str) -> str:
     return f"round(({n})::double / nullif({d}, 0), 4)"
 
 
-@query(f"""{_RESULTS}, s as (select split, count(*) as cases, count_if(expected > 0) as risk_cases, count_if(expected = 0) as clean_cases, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(severity_hits)::bigint as severity_hits, sum(high_total)::bigint as high_total, sum(high_hits)::bigint as high_hits,
-sum(repair_attempted)::bigint as repair_attempted, sum(repair_passed)::bigint as repair_passed, {', '.join(f"sum(repair_{t.replace('-', '_')})::bigint as repair_{t.replace('-', '_')}" for t in results.REPAIR_TIERS)}, count_if(clean_hit) as clean_hits, count_if(execution_success) as execution_successes, count_if(e2e_success) as e2e_successes from x group by split),
+@query(f"""{_RESULTS}, s as (select split, count(*) as cases, count_if(expected > 0)::bigint as risk_cases, count_if(expected = 0)::bigint as clean_cases, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(severity_hits)::bigint as severity_hits, sum(high_total)::bigint as high_total, sum(high_hits)::bigint as high_hits,
+sum(repair_attempted)::bigint as repair_attempted, sum(repair_passed)::bigint as repair_passed, {', '.join(f"sum(repair_{t.replace('-', '_')})::bigint as repair_{t.replace('-', '_')}" for t in results.REPAIR_TIERS)}, count_if(clean_hit)::bigint as clean_hits, count_if(execution_success)::bigint as execution_successes, count_if(e2e_success)::bigint as e2e_successes from x group by split),
 q as (select *, {_rate('tp', 'tp + fp')} as precision, {_rate('tp', 'tp + fn')} as recall, {_rate('severity_hits', 'tp')} as severity_accuracy, {_rate('high_hits', 'high_total')} as high_risk_recall, {_rate('clean_hits', 'clean_cases')} as clean_accuracy, {_rate('execution_successes', 'cases')} as execution_success_rate,
 {_rate('repair_passed', 'repair_attempted')} as safe_fix_rate, {_rate('repair_verified_draft', 'repair_attempted - repair_unreproduced')} as verified_draft_rate, {_rate('repair_blocked', 'repair_attempted - repair_unreproduced')} as blocked_rate, {_rate('repair_suggestion_only', 'repair_attempted - repair_unreproduced')} as suggestion_only_rate, {_rate('e2e_successes', 'risk_cases')} as e2e_security_fix_rate from s)
 select *, case when precision + recall = 0 then 0.0 else round(2 * precision * recall / (precision + recall), 4) end::double as f1 from q""")
