@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlytics.operators import matching, results
+from revlytics.operators import matching, release, results
 from revlytics.plans.registry import query, table
 
 _SEVERITIES = ("low", "medium", "high", "critical")
@@ -79,3 +79,51 @@ select *, case when precision + recall = 0 then 0.0 else round(2 * precision * r
 def full_run_metrics(spark, sf):
     """Totals and rates by split."""
     return results.run_metrics(_results(spark, sf), ["split"])
+
+
+_SIDES = ("c", "b", "ch", "bh")
+
+
+def _replays(spark, sf) -> DataFrame:
+    """A pair of replays for each customer: orders are cases, of the candidate or the baseline, on validation or holdout."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    expected = F.when(k % 5 == 0, 0).otherwise(k % 3 + 1)
+    ok = k % 31 > 0
+    tp = F.when(ok, F.least(expected, k % 4)).otherwise(0)
+    rows = o.select(
+        F.col("o_custkey").alias("skill"), F.element_at(F.array(*map(F.lit, _SIDES)), (k % 4 + 1).cast("int")).alias("side"), expected.alias("expected"), tp.alias("tp"), F.when(ok, F.when(k % 6 == 0, 1).otherwise(0)).otherwise(0).alias("fp"), (expected - tp).alias("fn"),
+        F.least(tp, k % 2 + 1).alias("severity_hits"), F.least(expected, k % 2).alias("high_total"), F.least(tp, k % 2).alias("high_hits"), ok.alias("ok"),
+    )
+    metrics = release.replay_metrics(rows, ["skill", "side"])
+    every = F.struct(*(c for c in metrics.columns if c not in ("skill", "side")))
+    sides = [F.max(F.when(F.col("side") == s, every)).alias(s) for s in _SIDES]
+    return metrics.groupBy("skill").agg(*sides)
+
+
+_SCORES = """k as (select o_custkey as skill, ['c', 'b', 'ch', 'bh'][o_orderkey % 4 + 1] as side, case when o_orderkey % 5 = 0 then 0 else o_orderkey % 3 + 1 end as e, o_orderkey as o, o_orderkey % 31 > 0 as ok from orders),
+q as (select *, case when ok then least(e, o % 4) else 0 end as tp, case when ok and o % 6 = 0 then 1 else 0 end as fp from k),
+s as (select skill, side, sum(tp) as tp, sum(fp) as fp, sum(e - tp) as fn, sum(least(tp, o % 2 + 1)) as sh, sum(least(e, o % 2)) as ht, sum(least(tp, o % 2)) as hh, sum(e) as e, count(*) as n, count(*) filter (where e > 0) as pos, count(*) filter (where e = 0) as cl, count(*) filter (where e = 0 and ok and tp + fp = 0) as clh, count(*) filter (where ok) as okn from q group by all),
+x as (select *, 2.0 * tp / nullif(2 * tp + fp + fn, 0) as f1x, sh::double / nullif(tp, 0) as sax, clh::double / nullif(cl, 0) as cax from s),
+m as (select *, round(coalesce((coalesce(case when e > 0 then f1x * 0.65::double end, 0) + coalesce(case when e > 0 then sax * 0.15::double end, 0) + coalesce(cax * 0.20::double, 0)) / nullif(case when e > 0 and f1x is not null then 0.65::double else 0 end + case when e > 0 and sax is not null then 0.15::double else 0 end + case when cax is not null then 0.20::double else 0 end, 0), 0) * (okn::double / n), 4) as score,
+ round(tp::double / nullif(tp + fp, 0), 4) as pr, round(tp::double / nullif(tp + fn, 0), 4) as rc, round(hh::double / nullif(ht, 0), 4) as hr, round(sax, 4) as sa, round(cax, 4) as ca from x),
+w as (select z.skill, c, b, ch, bh from (select distinct skill from m) z left join m c on c.skill = z.skill and c.side = 'c' left join m b on b.skill = z.skill and b.side = 'b' left join m ch on ch.skill = z.skill and ch.side = 'ch' left join m bh on bh.skill = z.skill and bh.side = 'bh')"""
+
+
+def _falls(c: str, b: str) -> str:
+    test = lambda n: f"({b}.{n} is not null and not coalesce({c}.{n} + 0.02::double >= {b}.{n}, false))"
+    other = f"coalesce({b}.tp <> {c}.tp, false)"
+    return (
+        f"list_sort(list_filter([case when coalesce({b}.cl > 0, false) and {test('ca')} then 'clean_accuracy' end, case when {test('hr')} then 'high_severity_recall' end, case when {test('pr')} then 'precision' end, case when {test('rc')} then 'recall' end, case when {test('score')} then 'score' end, "
+        f"case when coalesce({b}.pos > 0, false) and (({other} and not coalesce({c}.sh, 0) >= coalesce({b}.sh, 0)) or (not {other} and {test('sa')})) then 'severity_accuracy' end], lambda y: y is not null))"
+    )
+
+
+@query(f"""with {_SCORES}, d as (select skill, c.score as score, b.score as baseline, coalesce(c.n - c.okn, 0) + coalesce(b.n - b.okn, 0) + coalesce(ch.n - ch.okn, 0) + coalesce(bh.n - bh.okn, 0) as errors, coalesce(c.score >= b.score + 0.01::double, false) as better, {_falls('c', 'b')} as vf, {_falls('ch', 'bh')} as hf, coalesce(b.n >= 2, false) as ready, coalesce(bh.n >= 1, false) as hready from w),
+r as (select *, case when skill % 9 = 0 then ['unsafe or incomplete prompt'] when not ready then ['too few validation cases'] when not hready then ['too few holdout cases'] else list_filter([case when errors > 0 then 'one or more evaluations failed' end, case when not better then 'score improvement was below the threshold' end,
+ case when len(vf) > 0 then 'a protected validation metric regressed (' || array_to_string(vf, ', ') || ')' end, case when len(hf) > 0 then 'a protected holdout metric regressed (' || array_to_string(hf, ', ') || ')' end], lambda y: y is not null) end as why from d)
+select skill, score, baseline, case when skill % 9 = 0 then 'rejected' when not ready or not hready then 'deferred' when len(why) > 0 then 'rejected' when skill % 2 = 0 then 'activated' else 'shadow_ready' end as decision, array_to_string(why, '; ') as reasons from r""")
+def candidate_decisions(spark, sf):
+    """What is decided on every customer's candidate, with all reasons."""
+    enough = lambda side, n: F.coalesce(F.col(f"{side}.cases") >= n, F.lit(False))
+    out = release.decided(_replays(spark, sf), F.col("skill") % 9 > 0, enough("b", 2), enough("bh", 1), F.col("skill") % 2 == 0, 0.01, 0.02)
+    return out.select("skill", F.col("c.score").alias("score"), F.col("b.score").alias("baseline"), "decision", F.array_join("reasons", "; ").alias("reasons"))
