@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlytics.operators import matching, release, results
+from revlytics.operators import archive, matching, release, results
 from revlytics.plans.registry import query, table
 
 _SEVERITIES = ("low", "medium", "high", "critical")
@@ -127,3 +127,44 @@ def candidate_decisions(spark, sf):
     enough = lambda side, n: F.coalesce(F.col(f"{side}.cases") >= n, F.lit(False))
     out = release.decided(_replays(spark, sf), F.col("skill") % 9 > 0, enough("b", 2), enough("bh", 1), F.col("skill") % 2 == 0, 0.01, 0.02)
     return out.select("skill", F.col("c.score").alias("score"), F.col("b.score").alias("baseline"), "decision", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _archive(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Versions and scores of 60 skills; a ninth of them has no scores, a seventh nothing active."""
+    k, skill = F.col("o_orderkey"), F.col("o_custkey") % 60
+    o = table(spark, sf, "orders")
+    versions = o.groupBy(skill.alias("skill"), (k % 8).alias("version")).agg(F.round(F.max(k % 1000) / 100, 2).alias("score"), F.min(k).alias("m"))
+    versions = versions.select("skill", "version", "score", ((F.col("skill") % 7 > 0) & (F.col("version") % 3 == 0)).alias("active"), F.when(F.col("version") % 4 > 0, F.when(F.col("version") % 2 == 0, "rejected").otherwise("activated")).alias("decision"))
+    scores = o.where((skill % 9 > 0) & (k % 8 != 5)).select(skill.alias("skill"), (k % 8).alias("version"), F.col("o_custkey").alias("case_id"), F.when(k % 10 > 0, k % 4).alias("score"))
+    return versions, scores
+
+
+_ARCHIVE = """v as (select o_custkey % 60 as skill, o_orderkey % 8 as version, round(max(o_orderkey % 1000) / 100.0, 2)::double as score from orders group by all), w as (select *, skill % 7 > 0 and version % 3 = 0 as active from v),
+s as (select o_custkey % 60 as skill, o_orderkey % 8 as version, o_custkey as case_id, max(case when o_orderkey % 10 > 0 then o_orderkey % 4 end) as score from orders where (o_custkey % 60) % 9 > 0 and o_orderkey % 8 <> 5 group by all),
+b as (select skill, case_id, max(score) as best from s where score is not null group by all), f as (select s.skill, s.version, count(*) as leads from s join b on b.skill = s.skill and b.case_id = s.case_id where s.score >= best group by all),
+h as (select skill, max(version) filter (where active) as active, arg_max(version, score * 100000 + version) as best, list_sort(list(version)) as vs from w group by skill)"""
+
+
+@query(f"""with {_ARCHIVE} select h.skill, count(*)::bigint as versions, (select count(distinct version) from s where s.skill = h.skill and score is not null)::bigint as evaluated, (select count(*) from f where f.skill = h.skill)::bigint as frontier_size, h.active as active_version, h.best as best_version,
+concat_ws(',', 'activated=' || nullif(count(*) filter (where version % 4 in (1, 3)), 0), 'rejected=' || nullif(count(*) filter (where version % 4 = 2), 0), 'unknown=' || nullif(count(*) filter (where version % 4 = 0), 0)) as decisions from h join w on w.skill = h.skill group by h.skill, h.active, h.best""")
+def archive_summary(spark, sf):
+    """What each skill's archive holds."""
+    out = archive.summary(*_archive(spark, sf), ["skill"])
+    return out.withColumn("decisions", F.array_join(F.transform(F.map_entries("decisions"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
+_UNIT = "('0x' || substr(sha256({}), 1, 16))::ubigint::double / 18446744073709551616.0::double"
+
+
+@query(f"""with {_ARCHIVE}, a as (select skill, unnest(['active', 'best', 'pareto', 'epsilon_greedy']) as strategy from h), u as (select *, skill || '/' || strategy as seed, {_UNIT.format("skill || '/' || strategy")} as u, {_UNIT.format("skill || '/' || strategy || ':explore'")} as x from a),
+l as (select skill, version, sum(leads) over (partition by skill order by version) as upto, sum(leads) over (partition by skill) as total from f),
+p as (select u.skill, u.strategy, min(l.version) filter (where u.u * l.total < l.upto) as version from u join l on l.skill = u.skill group by all)
+select u.skill, u.strategy, case u.strategy when 'active' then coalesce(h.active, h.best) when 'best' then h.best when 'pareto' then coalesce(p.version, h.active, h.best) else case when u.u < 0.4 then h.vs[(floor(u.x * len(h.vs)) % len(h.vs))::int + 1] else h.best end end as version,
+case u.strategy when 'active' then case when h.active is null then 'best' else 'active' end when 'best' then 'best' when 'pareto' then case when p.version is not null then 'pareto' when h.active is null then 'best' else 'active' end else case when u.u < 0.4 then 'explore' else 'exploit' end end as resolved,
+case when u.strategy = 'active' and h.active is null then 'active' when u.strategy = 'pareto' and p.version is null then 'pareto' else '' end as fell_back_from from u join h on h.skill = u.skill left join p on p.skill = u.skill and p.strategy = u.strategy""")
+def chosen_parents(spark, sf):
+    """The parent of each skill's next round by each strategy, and what it fell back from."""
+    versions, scores = _archive(spark, sf)
+    asked = versions.select("skill").distinct().select("skill", F.explode(F.array(*map(F.lit, archive.STRATEGIES))).alias("strategy"), F.lit(0.4).alias("epsilon"))
+    asked = asked.withColumn("seed", F.concat(F.col("skill").cast("string"), F.lit("/"), F.col("strategy")))
+    return archive.parents(asked, versions, scores, ["skill"]).select("skill", "strategy", "version", "resolved", "fell_back_from")
