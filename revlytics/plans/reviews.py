@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlytics.operators import scanners
+from revlytics.operators import lookup, scanners
 from revlytics.plans.registry import query, table
 
 #: Lines of code; {} is a number. Some break rules, some nearly do.
@@ -81,3 +81,36 @@ def literal_rule_findings(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("src/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
     found = scanners.literal_findings(docs, ARTIFACT).groupBy("rule_id", "severity", "doc_id").agg(F.count("*").alias("n"))
     return found.groupBy("rule_id", "severity").agg(F.sum("n").alias("findings"), F.count("*").alias("documents"))
+
+
+@query("""with l as (select doc_id, unnest(range(1, len(s) + 1)) as line, unnest(s) as content from (select doc_id, string_split(text, chr(10)) as s from documents)), h as (select *, row_number() over (partition by doc_id order by line) as n from l where contains(lower(content), 'the'))
+select doc_id, line, substr(content, 1, 500) as content from h where n <= 3""")
+def searched_lines(spark, sf):
+    """The first three lines of every document that hold a text, in any case."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "content")).select("doc_id", (F.col("at") + 1).cast("long").alias("line"), "content")
+    return lookup.searched(lines, "THE", ["doc_id"], 3)
+
+
+@query("""with d as (select doc_id, string_split(text, chr(10)) as s, ends_with(text, chr(10)) as closed, greatest(1, doc_id % 6 - 1) as a, doc_id % 9 as b from documents where text is not null),
+r as (select *, least(greatest(a, b), a + 499) as h, case when text_empty then 0 when closed then len(s) - 1 else len(s) end as n from (select *, len(s) = 1 and s[1] = '' as text_empty from d))
+select doc_id, a::bigint as start_line, least(h, n)::bigint as end_line, substr(array_to_string(s[a:least(h, n)], chr(10)) || case when least(h, n) >= a and (h < n or closed) then chr(10) else '' end, 1, 40000) as content from r""")
+def line_ranges(spark, sf):
+    """A range of lines of every document, clamped to it."""
+    k = F.col("doc_id")
+    r = lookup.read_range(F.col("text"), k % 6 - 1, k % 9)
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", r.alias("r")).select("doc_id", "r.*")
+
+
+@query("""with f as (select s_nationkey as nation, case when s_suppkey % 3 = 0 then 'tests/test_m' || s_suppkey % 10 || '.py' when s_suppkey % 3 = 1 then 'src/m' || s_suppkey % 10 || '.py' else 'spec/Thing' || s_suppkey % 10 || '_spec.rb' end as path from supplier),
+g as (select distinct nation, path, lower(path) as low from f where lower(path) like '%test%' or lower(path) like '%spec%'), q as (select n_nationkey as nation, case n_nationkey % 3 when 0 then 'src/m' || n_nationkey % 10 || '.py' end as path, case when n_nationkey % 3 < 2 then 'Thing' || n_nationkey % 5 end as symbol from nation),
+t as (select nation, list_distinct(list_filter([lower(symbol), case when path is not null then 'm' || nation % 10 end, case when path is not null then 'test_m' || nation % 10 end], lambda x: x is not null)) as tokens from q),
+r as (select t.nation, g.path, len(list_filter(tokens, lambda x: contains(low, x))) as relevance, len(tokens) as n from t join g using (nation))
+select nation, nation as ask, path, relevance::int as relevance from r where relevance > 0 or n = 0""")
+def located_tests(spark, sf):
+    """Test files that belong to each nation's question."""
+    k, s = F.col("n_nationkey"), F.col("s_suppkey")
+    m = (s % 10).cast("string")
+    path = F.when(s % 3 == 0, F.concat(F.lit("tests/test_m"), m, F.lit(".py"))).when(s % 3 == 1, F.concat(F.lit("src/m"), m, F.lit(".py"))).otherwise(F.concat(F.lit("spec/Thing"), m, F.lit("_spec.rb")))
+    files = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), path.alias("path")).distinct()
+    asked = table(spark, sf, "nation").select(k.alias("nation"), k.alias("ask"), F.when(k % 3 == 0, F.concat(F.lit("src/m"), (k % 10).cast("string"), F.lit(".py"))).alias("path"), F.when(k % 3 < 2, F.concat(F.lit("Thing"), (k % 5).cast("string"))).alias("symbol"))
+    return lookup.located_tests(asked, files, ["nation"], "ask")
