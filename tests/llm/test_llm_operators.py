@@ -496,8 +496,8 @@ def test_classifier_nasty(nasty, none):
     assert empty.bias == 0
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 14))
 
 
 def test_a_very_long_text_does_not_end_the_sample(spark):
