@@ -38,8 +38,8 @@ from revlytics.llm.bwt import Shard, merge
 from revlytics.llm.common import _BASE, at, carried, power_table, release, restored, slices, stage, table, utf8
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text of which a batch collapses its runs, and of a bucket's or group's texts.
-BATCH_BYTES, GROUP_BYTES = 8 << 20, 4 << 20
+#: Bytes of text of which a batch collapses its runs, of a group's texts, and of texts for each bucket of their runs.
+BATCH_BYTES, GROUP_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20, 2 << 20
 #: Bytes of a long text that are hashed at a time.
 PIECE_BYTES = 1 << 18
 #: Bytes of contexts that one task's transforms hold, about.
@@ -274,7 +274,11 @@ def _decide(runs: DataFrame, groups: int) -> DataFrame:
             more["bucket"] = np.full(int(ask.sum()), key, np.uint32)
             for g, part in _by(_group_of(more["doc"], more["tag"], groups), more):
                 out.append(_packed(ASK, g, 2, part))
-        return pa.Table.from_pylist(out, schema)
+            del f, ctx, order, head, later, which, ask, more
+        made = pa.Table.from_pylist(out, schema)
+        del out, done, rows
+        release()
+        return made
 
     # Marks pass through any bucket's task.
     return runs.groupBy("key").applyInArrow(work, _kinds(ASK))
@@ -417,7 +421,7 @@ def _cut(source: DataFrame, marks: DataFrame, length: int, out_schema, finish) -
 
 def marks_of(source: DataFrame, total: int, groups: int, length: int) -> DataFrame:
     """Packed marks of all windows to remove, by group of docs."""
-    buckets = max(8, total // GROUP_BYTES)
+    buckets = max(8, total // BUCKET_BYTES)
     decided = stage(_decide(_local_runs(source, buckets, groups, length), groups), "decided")
     asks = decided.where("kind = 2")
     asked = asks.agg(F.sum(F.octet_length("pos"))).first()[0] or 0  # 4 bytes each
