@@ -15,7 +15,7 @@ that looks escaped survives too. A turn without control strings stands unchanged
 Everything is a DataFrame expression: one shuffle by conversation carries each text once; a turn's offset is a running sum in
 the same partitioning. A formatted conversation is one string, so it must fit a row, as a document must.
 
-Nulls: a null text or role is empty; turns are ordered with null first, ties by role and text; rows without a conversation id are
+Nulls: a null text or role is empty; turns are ordered with null first, ties by role and rendered text; rows without a conversation id are
 one conversation with a null id. Repeated rows are turns each. An empty table gives an empty result. Other columns are ignored,
 whatever their names.
 """
