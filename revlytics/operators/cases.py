@@ -1,17 +1,17 @@
 """Evaluation cases from merged changes: faulty ones by reversing a fix, clean ones from ordinary changes; every refusal has its reason.
 
-Checks of a row are one ordered CASE, cheap ones first, with no shuffle. Only rows that pass them are taken apart into lines: lines are numbered, runs of lines
-become the expected findings, and a case's lines meet again by its key.
+Checks of a row are one ordered CASE, cheap ones first. Only the diffs of rows that pass them are read by line: lines are numbered and runs of them become the expected
+findings. A case has few changed lines, so all of it stays in its row, with neither a shuffle nor a filter that would work out the checks again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlytics.functions import screening
 from revlytics.functions.strings import strip
-from revlytics.operators.diffs import added_lines, file_chunks, lines_of, reverse_diff
+from revlytics.operators.diffs import added_in, file_chunks, lines_of, reverse_diff
 
 # Limits of a fix, days until an ordinary change counts as clean, and what can't be reversed.
 MOST_LINES, MOST_FILES, MOST_SPAN, CLEAN_DAYS = 20, 3, 10, 180
@@ -63,6 +63,18 @@ def _common(split: Column | str, cutoff, domain: str) -> list[Column]:
     ]
 
 
+def _runs(spots: Column) -> Column:
+    """array<path, start_line, end_line> of consecutive lines, of an ordered array<path, line> of distinct ones."""
+    one = lambda path, start, end: F.struct(path.alias("path"), start.alias("start_line"), end.alias("end_line"))
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.get(a, F.size(a) - 1)
+        goes_on = (last["path"] == x["path"]) & (last["end_line"] + 1 == x["line"])
+        return F.when(goes_on, F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), one(last["path"], last["start_line"], x["line"]))).otherwise(F.array_append(a, one(x["path"], x["line"], x["line"])))
+
+    return F.aggregate(spots, F.array().cast("array<struct<path: string, start_line: bigint, end_line: bigint>>"), step)
+
+
 def built_cases(pulls: DataFrame, split: Column | str, cutoff, domain: str = "") -> DataFrame:
     """A row for each pull (columns of PULL, key unique): its case, with reason null, or the reason for which it is refused and a case of nulls.
 
@@ -72,14 +84,11 @@ def built_cases(pulls: DataFrame, split: Column | str, cutoff, domain: str = "")
     rows = _prepared(pulls, screening.screen_fix(F.col("title"), F.col("body")))
     removes = F.exists("lines", lambda x: x.startswith("-") & ~x.startswith("---") & _is_code(F.substr(x, F.lit(2))))
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(~removes, "fix-adds-only"))).withColumn("reverted", F.when(F.col("reason").isNull(), reverse_diff(F.col("code"))))
-    lines = added_lines(rows.where("reason is null").select("key", F.col("reverted").alias("diff")), "key", "diff")
-    seeds = lines.where(_is_code(F.col("content")))
-    spot = seeds.where(F.col("path").endswith(".py") & ~screening.is_test_path(F.col("path"))).select("key", "path", "line").distinct()
-    runs = spot.withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("key", "path").orderBy("line"))).groupBy("key", "path", "run").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"))
-    runs = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", "start_line", "end_line"))).alias("runs"), F.max(F.col("end_line") - F.col("start_line") + 1).alias("span"))
-    # At most MOST_LINES of a case.
-    by_key = lines.groupBy("key").agg(F.count("*").alias("n_added"), F.transform(F.sort_array(F.collect_list(F.when(_is_code(F.col("content")), F.struct("path", "line", "content")))), lambda x: x["content"]).alias("seeds"))
-    rows = rows.join(by_key, "key", "left").join(runs, "key", "left")
+    # At most MOST_LINES of a case are added, so that they stay in its row.
+    rows = rows.withColumn("added", added_in(F.col("reverted"))).withColumn("coded", F.array_sort(F.filter("added", lambda x: _is_code(x["content"]))))
+    spots = F.filter("coded", lambda x: x["path"].endswith(".py") & ~screening.is_test_path(x["path"]))
+    rows = rows.withColumn("runs", _runs(F.array_distinct(F.transform(spots, lambda x: F.struct(x["path"].alias("path"), x["line"].alias("line"))))))
+    rows = rows.withColumns({"n_added": F.nullif(F.size("added"), F.lit(0)), "seeds": F.col("coded.content"), "span": F.array_max(F.transform("runs", lambda r: r["end_line"] - r["start_line"] + 1))})
     bumps = F.forall("seeds", lambda x: screening.found(x, screening.VERSION_ASSIGNMENT))
     later = (
         F.when(F.col("n_added").isNull(), "reversal-has-no-added-lines").when(F.size("seeds") == 0, "seed-lines-blank-or-comment-only").when(bumps, "release-commit")
@@ -104,8 +113,8 @@ def built_clean_cases(pulls: DataFrame, split: Column | str, cutoff, as_of, doma
     days = F.floor((F.unix_seconds(_as_of(as_of)) - F.unix_seconds(F.col("merged_at"))) / 86400)
     screened = F.coalesce(screening.screen_clean(F.col("title"), F.col("body")), F.when(F.coalesce(days < CLEAN_DAYS, F.lit(True)), "cooldown-not-elapsed"))
     rows = _prepared(pulls, screened)
-    some = added_lines(rows.where("reason is null").select("key", F.col("code").alias("diff")), "key", "diff").select("key").distinct().withColumn("some", F.lit(True))
-    rows = rows.join(some, "key", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("some").isNull(), "no-added-lines")))
+    none_added = F.when(F.col("reason").isNull(), F.size(added_in(F.col("code"))) == 0)
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(none_added, "no-added-lines")))
     none = lambda kind: F.lit(None).cast(kind)
     good = F.col("reason").isNull()
     case = {

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlytics.functions.strings import strip
+from revlytics.functions.strings import once, strip
 
+#: Fixed value: a hunk's header, with the first of its new lines.
+HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 #: Fixed value: what ends a line, CRLF first.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
@@ -28,7 +30,7 @@ def added_lines(diffs: DataFrame, case: str = "case_id", text: str = "diff") ->
     rows = rows.select(case, "_row", F.posexplode(lines_of(F.col(text))).alias("at", "raw"))
     so_far = Window.partitionBy("_row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     raw = F.col("raw")
-    hunk = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
+    hunk = F.regexp_extract("raw", HUNK, 1)
     is_hunk, is_file = hunk != "", raw.startswith("+++ ")
     name = F.regexp_replace(strip(F.substring("raw", 5, 1 << 20)), "^b/", "")
     rows = rows.withColumns({
@@ -44,6 +46,25 @@ def added_lines(diffs: DataFrame, case: str = "case_id", text: str = "diff") ->
     return rows.where(added & ~is_file & F.col("state.inside")).select(case, F.when(F.col("path") != "", F.col("path")).otherwise("unknown").alias("path"), "line", F.substring("raw", 2, 1 << 30).alias("content"))
 
 
+def added_in(text: Column) -> Column:
+    """array<path, line, content> of a diff's added lines, as `added_lines` has them: for diffs of few of them, since a row holds all."""
+    none = F.array().cast("array<struct<path: string, line: bigint, content: string>>")
+    start = F.struct(F.lit(None).cast("string").alias("path"), F.lit(False).alias("inside"), F.lit(0).cast("long").alias("line"), none.alias("found"))
+    state = lambda path, inside, line, found: F.struct(path.alias("path"), inside.alias("inside"), line.alias("line"), found.alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        found = F.struct(F.when(a["path"] != "", a["path"]).otherwise("unknown").alias("path"), a["line"].alias("line"), F.substring(x, 2, 1 << 30).alias("content"))
+        return (
+            F.when(x.startswith("+++ "), state(F.regexp_replace(strip(F.substring(x, 5, 1 << 20)), "^b/", ""), F.lit(False), F.lit(1).cast("long"), a["found"]))
+            .when(x.startswith("@@ ") & x.rlike(HUNK), state(a["path"], F.lit(True), F.regexp_extract(x, HUNK, 1).cast("long"), a["found"]))
+            .when((x.startswith("-") & ~x.startswith("---")) | x.startswith("\\ No newline"), a)
+            .when(a["inside"] & x.startswith("+") & ~x.startswith("+++"), state(a["path"], a["inside"], a["line"] + 1, F.array_append(a["found"], found)))
+            .otherwise(state(a["path"], a["inside"], a["line"] + 1, a["found"]))
+        )
+
+    return F.aggregate(lines_of(text), start, step, lambda a: a["found"])
+
+
 def file_chunks(diff: Column) -> Column:
     """array<path, chunk> of a diff's files."""
     whole = F.array_join(F.transform(lines_of(F.coalesce(diff, F.lit(""))), lambda x: F.concat(x, F.lit("\n"))), "")
@@ -78,10 +99,10 @@ def reverse_diff(text: Column) -> Column:
 
     kept = F.filter(lines_of(text), lambda x: ~x.rlike("^(index|similarity index) "))
     turned = F.transform(kept, turn)
-    # A header pair comes in the order ---, +++ again.
-    ordered = F.transform(turned, lambda x, i: F.when(x.startswith("+++ b/") & F.coalesce(F.get(turned, i + 1).startswith("--- a/"), F.lit(False)), F.get(turned, i + 1))
-                          .when(x.startswith("--- a/") & F.coalesce(F.get(turned, i - 1).startswith("+++ b/"), F.lit(False)), F.get(turned, i - 1)).otherwise(x))
-    return F.concat(F.array_join(ordered, "\n"), F.lit("\n"))
+    # A header pair comes in the order ---, +++ again. Lines are turned once: an expression inside a lambda is worked out again for each element.
+    ordered = lambda all_: F.transform(all_, lambda x, i: F.when(x.startswith("+++ b/") & F.coalesce(F.get(all_, i + 1).startswith("--- a/"), F.lit(False)), F.get(all_, i + 1))
+                                       .when(x.startswith("--- a/") & F.coalesce(F.get(all_, i - 1).startswith("+++ b/"), F.lit(False)), F.get(all_, i - 1)).otherwise(x))
+    return once(turned, lambda all_: F.concat(F.array_join(ordered(all_), "\n"), F.lit("\n")))
 
 
 def content_fingerprint(text: Column) -> Column:

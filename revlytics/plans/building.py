@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revlytics.functions import screening
 from revlytics.operators import cases
 from revlytics.operators.collecting import collected
-from revlytics.plans.registry import query, shared_folder, table
+from revlytics.plans.registry import query, shared_folder, spread, table
 
 _TITLES = (
     "Fix crash in parser {}", "fix: off-by-one in slice {}", "Add feature {}", "Revert \"fix {}\"", "[3.1{}] fix leak", "Backport fix {}", "v2.{}.1", "2.{}", "Upgrade to 2.{}", "upgrade header {} fixed", "docs: fix {}", "Comment {} broken",
@@ -76,7 +76,7 @@ _BUILT = {0: ("logic-boundary", "code-pattern", "L2", "src/a.py:6-7"), 1: ("conc
 
 def _pulls(spark, sf, titles: tuple) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select(
         k.cast("string").alias("key"), F.concat(F.lit("org/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))).alias("repository"), k.cast("long").alias("number"), _pick(titles, F.expr("p_partkey div 14"), F.col("p_size")).alias("title"), F.lit("fixes #1" if titles is _FIXES else "").alias("body"),
         F.timestamp_add("DAY", (k % 400).cast("int"), F.lit("2024-01-01 12:00:00").cast("timestamp")).alias("merged_at"), _pick(tuple(d for d, _, _ in _DIFFS), k, F.col("p_size")).alias("diff"), F.when(k % 2 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("html_url"),
     )

@@ -1,8 +1,13 @@
 """Queries on tables like larger ones: keys beyond the small tables' ranges, and how their work is spread."""
 
+import random
+
 import duckdb
 
+from pyspark.sql import functions as F
+
 from revlytics import catalog
+from revlytics.operators.diffs import added_in, added_lines
 
 
 def compared(spark, folder, name: str, table: str) -> list:
@@ -22,3 +27,24 @@ def test_matching_sizes_with_large_numbers(spark, tmp_path):
     rows = "(7, 1150000, 2, 2), (7, 2, 1, 2), (7, 1, 1, 4), (7, 3, 1, 6), (8, 4, 1, 1), (8, 5, 1, 1), (9, 1, 5, 1)"
     duckdb.execute(f"copy (select l_orderkey::bigint as l_orderkey, l_partkey::bigint as l_partkey, l_suppkey::bigint as l_suppkey, l_linenumber::int as l_linenumber from (values {rows}) v(l_orderkey, l_partkey, l_suppkey, l_linenumber)) to '{tmp_path}/lineitem.parquet'")
     assert sorted(compared(spark, tmp_path, "matching_sizes", "lineitem")) == [(7, 1, 1, 1), (8, 1, 0, 0), (9, 0, 0, 1)]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clean_cases_are_spread_and_stay_in_their_rows(spark, sf):
+    made = plan(catalog.QUERIES["clean_case_funnel"](spark, sf))
+    assert "REPARTITION_BY_NUM" in made and "Join" not in made and "Window" not in made
+
+
+def test_added_lines_in_a_row_equal_those_by_lines(spark):
+    pieces = [
+        "diff --git a/x b/x", "--- a/x.py", "+++ b/x.py", "+++ b/ y.py\t", "+++ ", "+++z", "@@ -1,2 +7,3 @@ def f", "@@ -1 +1 @@", "@@ bad", "+new", "+", "-old", "---", "--- b", " ctx", "", "\\ No newline at end of file", "\\x", "+++", "+@@ -1 +5 @@",
+    ]
+    draw = random.Random(3)
+    texts = [None, "", "+a", *("\n".join(draw.choice(pieces) for _ in range(draw.randint(1, 14))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "case_id long, diff string")
+    want = sorted(tuple(r) for r in added_lines(df).collect())
+    got = df.select("case_id", F.explode(added_in(F.col("diff"))).alias("x")).select("case_id", "x.*")
+    assert len(want) > 50 and sorted(tuple(r) for r in got.collect()) == want
