@@ -48,3 +48,8 @@ def test_added_lines_in_a_row_equal_those_by_lines(spark):
     want = sorted(tuple(r) for r in added_lines(df).collect())
     got = df.select("case_id", F.explode(added_in(F.col("diff"))).alias("x")).select("case_id", "x.*")
     assert len(want) > 50 and sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_fix_cases_are_spread_and_stay_in_their_rows(spark, sf):
+    made = plan(catalog.QUERIES["fix_cases"](spark, sf))
+    assert "REPARTITION_BY_NUM" in made and "Join" not in made and "Window" not in made
