@@ -82,8 +82,7 @@ def test_outcomes(logs: DataFrame, key: str, text: str) -> DataFrame:
     whose id is the dotted name with the test's own once. White space is Unicode's, names may have any letters. Partial maxima, one
     shuffle by log and test.
     """
-    words = F.split("raw", GAP, 3)
-    first, second, rest = (F.coalesce(F.get(words, i), F.lit("")) for i in range(3))
+    first, second, rest = (F.col(c) for c in ("first", "second", "rest"))
     lead = lambda w: _named(RUNNER_WORDS, F.regexp_extract(w, r"(?U)^\w+", 0))
     row = lambda test, outcome: F.when(test.isNotNull() & outcome.isNotNull(), F.struct(test.alias("test"), outcome.alias("outcome")))
     dotted = F.substr(second, F.lit(2), F.greatest(F.length(second) - 2, F.lit(0)))
@@ -91,9 +90,11 @@ def test_outcomes(logs: DataFrame, key: str, text: str) -> DataFrame:
     unit = F.when(is_unit, F.when(F.endswith(dotted, F.concat(F.lit("."), first)), dotted).otherwise(F.concat_ws(".", dotted, first)))
     found = F.coalesce(row(_node_id(first, True), lead(second)), row(_node_id(second, False), _named(RUNNER_WORDS, first)), row(unit, _outcome_of_unit(rest)))
     lines = logs.select(key, F.explode(lines_of(F.col(text))).alias("raw")).select(key, strip(F.col("raw")).alias("raw"))
-    lines = lines.select(key, found.alias("f")).where("f is not null")
+    # Each step is a column of its own, worked out once. Lines of no kind end as the test null: a filter before the sum would work out all of it a second time.
+    lines = lines.select(key, F.split("raw", GAP, 3).alias("words")).select(key, *(F.coalesce(F.get("words", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(("first", "second", "rest"))))
+    lines = lines.select(key, found.alias("f"))
     rank = F.when(F.col("f.outcome") == "failed", 3).when(F.col("f.outcome") == "passed", 2).otherwise(1)
-    return lines.groupBy(key, F.col("f.test").alias("test")).agg(F.max_by(F.col("f.outcome"), rank).alias("outcome"))
+    return lines.groupBy(key, F.col("f.test").alias("test")).agg(F.max_by(F.col("f.outcome"), rank).alias("outcome")).where("outcome is not null")
 
 
 def hunk_score(path: Column, hunk: Column, terms: tuple[str, ...]) -> Column:

@@ -53,3 +53,9 @@ def test_added_lines_in_a_row_equal_those_by_lines(spark):
 def test_fix_cases_are_spread_and_stay_in_their_rows(spark, sf):
     made = plan(catalog.QUERIES["fix_cases"](spark, sf))
     assert "REPARTITION_BY_NUM" in made and "Join" not in made and "Window" not in made
+
+
+def test_logs_are_spread_and_read_once(spark, sf):
+    made = plan(catalog.QUERIES["parsed_test_outcomes"](spark, sf))
+    assert "REPARTITION_BY_NUM" in made
+    assert not re.search(r"Filter .*RLIKE", made)
