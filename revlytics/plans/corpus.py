@@ -9,7 +9,7 @@ from revlytics.functions.metrics import bucket
 from revlytics.operators import diffs, rules
 from revlytics.operators.numbering import hash_order, numbered_by_hash, running
 from revlytics.operators.recall import best_covering
-from revlytics.plans.registry import query, table
+from revlytics.plans.registry import query, spread, table
 
 _LINES = "(select doc_id, source, unnest(string_split(text, chr(10))) as content from documents)"
 _HITS = " union all ".join(f"select *, '{r}' as rule_id, '{s}' as severity from {_LINES} where regexp_matches(content, '{p.replace(chr(39), chr(39) * 2)}')" for r, s, p in rules.DOCUMENT_RULES)
@@ -46,7 +46,7 @@ def screen_reason_funnel(spark, sf):
 
 
 def _diffs(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
     path = F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit(".py"))
     diff = F.format_string(
         "diff --git a/%1$s b/%1$s\nindex 1a2b..3c4d 100644\n--- a/%1$s\n+++ b/%1$s\n@@ -%2$d,3 +%2$d,4 @@\n head\n-old %3$s\n+new %3$s\n+type %4$s\n tail\n@@ -90 +91,2 @@\n end\n+size %2$d\n", path, "p_size", "p_name", "p_type"

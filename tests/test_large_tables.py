@@ -59,3 +59,9 @@ def test_logs_are_spread_and_read_once(spark, sf):
     made = plan(catalog.QUERIES["parsed_test_outcomes"](spark, sf))
     assert "REPARTITION_BY_NUM" in made
     assert not re.search(r"Filter .*RLIKE", made)
+
+
+def test_diffs_are_spread_and_turned_once(spark, sf):
+    made = plan(catalog.QUERIES["diff_reverse"](spark, sf))
+    assert "REPARTITION_BY_NUM" in made
+    assert made.count("split(") == 4  # those of one reading by line; more when lines were turned for each use
