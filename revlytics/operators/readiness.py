@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlytics.functions.metrics import ratio
-from revlytics.functions.strings import strip
+from revlytics.functions.strings import once, strip
 
 # Kinds of real sources, splits, terms that a prompt must have and phrases that it mustn't, and its greatest length.
 REAL_SOURCES = ("public-github-pr", "private-historical-pr")
@@ -40,8 +40,10 @@ def readiness(corpus: DataFrame, least: int = 300) -> DataFrame:
 
 def prompt_safety(prompt: Column) -> Column:
     """safe, completeness, missing_terms, forbidden, empty, too_long, length of a prompt, outer white space aside; null is empty."""
-    plain = strip(F.coalesce(prompt, F.lit("")))
-    low = F.lower(plain)
+    return once(strip(F.coalesce(prompt, F.lit(""))), lambda plain: once(F.lower(plain), lambda low: _safety(plain, low)))
+
+
+def _safety(plain: Column, low: Column) -> Column:
     held = lambda words, want: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)) == want, F.lit(w)) for w in words)))
     forbidden, missing = held(FORBIDDEN_PHRASES, True), held(REQUIRED_TERMS, False)
     empty, long_ = plain == "", F.length(plain) > PROMPT_CHARS

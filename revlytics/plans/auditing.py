@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlytics.operators import labels, readiness
-from revlytics.plans.registry import query, table
+from revlytics.plans.registry import query, spread, table
 
 
 def _pick(values: tuple, k) -> F.Column:
@@ -86,7 +86,7 @@ def prompt_safety(spark, sf):
     """Whether prompts are safe, and each reason why not."""
     k = F.col("p_partkey")
     text = F.repeat(_pick(_PROMPTS, k), F.when(k % 13 == 0, 400).otherwise(1))
-    out = table(spark, sf, "part").select(k, readiness.prompt_safety(text).alias("s")).select("p_partkey", "s.*")
+    out = spread(table(spark, sf, "part").select("p_partkey"), "p_partkey").select(k, readiness.prompt_safety(text).alias("s")).select("p_partkey", "s.*")
     return out.select("p_partkey", "safe", "completeness", F.array_join("forbidden", ",").alias("forbidden"), "empty", "too_long", "length")
 
 

@@ -65,3 +65,7 @@ def test_diffs_are_spread_and_turned_once(spark, sf):
     made = plan(catalog.QUERIES["diff_reverse"](spark, sf))
     assert "REPARTITION_BY_NUM" in made
     assert made.count("split(") == 4  # those of one reading by line; more when lines were turned for each use
+
+
+def test_prompts_are_spread(spark, sf):
+    assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES["prompt_safety"](spark, sf))
