@@ -69,3 +69,7 @@ def test_diffs_are_spread_and_turned_once(spark, sf):
 
 def test_prompts_are_spread(spark, sf):
     assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES["prompt_safety"](spark, sf))
+
+
+def test_tiers_are_matched_in_one_pass(spark, sf):
+    assert plan(catalog.QUERIES["tier_scores"](spark, sf)).count("MapInArrow") == 1  # one for each tier before
