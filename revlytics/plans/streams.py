@@ -51,6 +51,8 @@ def bad_lines(spark, sf):
     k = F.col("doc_id")
     rows = table(spark, sf, "documents").where("doc_id is not null").select((k % 4).alias("bucket"), "doc_id", F.when(k % 7 == 0, "  ").when(k % 13 == 0, F.format_string('{"doc_id":%d,}', k)).otherwise(F.to_json(F.struct("doc_id", "text"))).alias("value"))
     folder = shared_folder(spark)
-    rows.repartition(4, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(folder)
-    found = numbered_lines(spark, folder, not_json)
+    # Ranges of ids, not whole buckets, are dealt to tasks: each file is written in parts, whose names are in the order of the ranges.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows.repartitionByRange(parts, "bucket", "doc_id").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(folder)
+    found = numbered_lines(spark, folder, not_json, in_parts=True)
     return found.select(F.regexp_extract("file", r"bucket=(\d+)/", 1).cast("long").alias("bucket"), "line", "value")

@@ -20,14 +20,16 @@ def _blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order"), "value")
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], keep=None) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], keep=None, in_parts: bool = False) -> DataFrame:
     """file, line (from 1), value of the lines of text files, or of those for which keep(value) holds: only these are joined with the blocks' counts.
 
+    in_parts: the files of a folder are one file in parts, in the order of their names, as a job writes them: lines are numbered on from part to part. file is the part's.
     Lines end with LF, CRLF or CR; blank ones count. Compressed files are one block each. Files must not change meanwhile.
     """
     rows = _blocks(spark, path)
     counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("order").alias("first"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.regexp_extract("file", "^(.*)/", 1) if in_parts else F.col("file")
+    before = Window.partitionBy(whole).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     lines = rows if keep is None else rows.where(keep(F.col("value")))
     return lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("order") - F.col("first") + 1).alias("line"), "value")

@@ -1,6 +1,7 @@
 """Queries on tables like larger ones: keys beyond the small tables' ranges, and how their work is spread."""
 
 import random
+import re
 
 import duckdb
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revlytics import catalog
 from revlytics.operators.diffs import added_in, added_lines
+from revlytics.sources.lines import numbered_lines
 
 
 def compared(spark, folder, name: str, table: str) -> list:
@@ -78,3 +80,16 @@ def test_tiers_are_matched_in_one_pass(spark, sf):
 def test_both_sides_are_sorted_in_small_parts(spark, sf):
     made = plan(catalog.QUERIES["unmatched_both_sides"](spark, sf))
     assert made.count("REPARTITION_BY_NUM") >= 4
+
+
+def test_files_in_parts_are_numbered_on(spark, tmp_path):
+    for name, text in (("b=1/part-00000", "x\ny\n"), ("b=1/part-00001", ""), ("b=1/part-00002", "z\n"), ("b=2/part-00001", "u\n"), ("b=2/part-00003", "v\nw")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = numbered_lines(spark, str(tmp_path), in_parts=True).select("line", "value").collect()
+    assert sorted(map(tuple, got)) == [(1, "u"), (1, "x"), (2, "v"), (2, "y"), (3, "w"), (3, "z")]
+
+
+def test_json_lines_are_written_by_many_tasks(spark, sf, tmp_path):
+    rows = catalog.QUERIES["bad_lines"](spark, sf)
+    assert rows.count() > 0 and len(rows.inputFiles()) > 4  # a file a bucket before
