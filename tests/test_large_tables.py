@@ -4,10 +4,12 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
 from revlytics import catalog
+from revlytics.operators import alignment
 from revlytics.operators.diffs import added_in, added_lines
 from revlytics.sources.lines import numbered_lines
 
@@ -93,3 +95,11 @@ def test_files_in_parts_are_numbered_on(spark, tmp_path):
 def test_json_lines_are_written_by_many_tasks(spark, sf, tmp_path):
     rows = catalog.QUERIES["bad_lines"](spark, sf)
     assert rows.count() > 0 and len(rows.inputFiles()) > 4  # a file a bucket before
+
+
+def test_pairs_are_given_back_in_small_batches():
+    lines = pa.array([["a", "b"], ["x"]] * 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), lines, pa.array([["a", "c"], ["x"]] * 500)], ["k", "before", "after"])
+    out = list(alignment._align(iter([batch])))
+    assert [n for b in out for n in b.column("k").to_pylist()] == list(range(1000)) and max(b.num_rows for b in out) <= 64
+    assert out[0].column("blocks").to_pylist()[:2] == [[{"i1": 1, "i2": 2, "j1": 1, "j2": 2}], []] and "before" not in out[0].schema.names
