@@ -111,19 +111,21 @@ def apply_patches(patches: DataFrame, files: DataFrame, case: str = "case_id", p
     beyond = F.when(F.col("is_hunk") & (F.col("target") > F.col("n_file")), _wrong(at, REASONS[11], 1))
     lines = lines.withColumn("wrong", F.array_min(F.array_compact(F.array("wrong", unknown, beyond))))
     is_old = F.coalesce(F.col("op").isin(" ", "-"), F.lit(False))
-    old = lines.where(is_old).select(case, "path", F.col("old_line").alias("line"), F.struct("at", "op", "text", "wrong").alias("old"))
+    # All of the patch's lines go into the join, so that they are made once; those that aren't old have no line to meet and pass through.
+    old = lines.select(case, "path", F.when(is_old, F.col("old_line")).alias("line"), F.struct("at", "op", "text", "wrong", "old_line", "is_new", is_old.alias("is_old")).alias("old"))
     own = held.select(case, "path", F.posexplode(lines_of(F.col("content"))).alias("line", "own"))
     own = own.withColumn("line", (F.col("line") + 1).cast("long"))
     met = own.join(old, [case, "path", "line"], "full")
-    differs = F.when(F.col("old").isNotNull() & ~F.coalesce(F.col("own") == F.col("old.text"), F.lit(False)), _wrong(F.col("old.at"), REASONS[12], 1, 1))
+    differs = F.when(F.col("old.is_old") & ~F.coalesce(F.col("own") == F.col("old.text"), F.lit(False)), _wrong(F.col("old.at"), REASONS[12], 1, 1))
     keep = F.when(F.coalesce(F.col("old.op") != "-", F.lit(True)) & F.col("own").isNotNull(), F.struct("line", F.lit(-1).alias("at"), F.col("own").alias("text")))
-    met = met.select(case, "path", keep.alias("new"), F.array_min(F.array_compact(F.array("old.wrong", differs))).alias("wrong"), F.col("old").isNotNull().alias("touched"))
-    added = F.when(F.col("op") == "+", F.struct(F.col("old_line").alias("line"), "at", "text"))
-    others = lines.where(~is_old).select(case, "path", added.alias("new"), "wrong", F.col("is_new").alias("touched"))
-    by_file = met.unionByName(others).groupBy(case, "path").agg(F.sort_array(F.collect_list("new")).alias("new"), F.min("wrong").alias("wrong"), F.bool_or("touched").alias("touched")).where("touched or wrong is not null")
-    by_file = by_file.withColumn("wrong", F.min("wrong").over(Window.partitionBy(case))).join(known.select(case, "path", "ends"), [case, "path"], "left")
+    added = F.when(F.col("old.op") == "+", F.struct(F.col("old.old_line").alias("line"), F.col("old.at").alias("at"), F.col("old.text").alias("text")))
+    touched = F.coalesce(F.col("old.is_old") | F.col("old.is_new"), F.lit(False))
+    met = met.select(case, "path", F.coalesce(keep, added).alias("new"), F.array_min(F.array_compact(F.array("old.wrong", differs))).alias("wrong"), touched.alias("touched"))
+    by_file = met.groupBy(case, "path").agg(F.sort_array(F.collect_list("new")).alias("new"), F.min("wrong").alias("wrong"), F.bool_or("touched").alias("touched")).where("touched or wrong is not null")
+    # A case that is refused keeps one of its rows, for the reason; so neither kind needs a pass of its own.
+    of_case = Window.partitionBy(case)
+    by_file = by_file.withColumns({"wrong": F.min("wrong").over(of_case), "nth": F.row_number().over(of_case.orderBy("path"))}).where("wrong is null or nth = 1").join(known.select(case, "path", "ends"), [case, "path"], "left")
     text = F.concat(F.array_join("new.text", "\n"), F.when(F.col("ends"), "\n").otherwise(""))
-    good = by_file.where("wrong is null").select(case, "path", text.alias("content"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("long").alias("line"))
-    bad = by_file.where("wrong is not null").groupBy(case).agg(F.min("wrong").alias("wrong"))
+    good = F.col("wrong").isNull()
     where = F.when((F.col("wrong.at") >= 0) & (F.col("wrong.at") < 1 << 40), F.col("wrong.at") + 1)
-    return good.unionByName(bad.select(case, F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("content"), F.col("wrong.reason").alias("reason"), where.alias("line")))
+    return by_file.select(case, F.when(good, F.col("path")).alias("path"), F.when(good, text).alias("content"), F.col("wrong.reason").alias("reason"), where.alias("line"))

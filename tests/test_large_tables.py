@@ -97,6 +97,11 @@ def test_json_lines_are_written_by_many_tasks(spark, sf, tmp_path):
     assert rows.count() > 0 and len(rows.inputFiles()) > 4  # a file a bucket before
 
 
+def test_patches_are_read_into_lines_once(spark, sf):
+    made = plan(catalog.QUERIES["applied_patches"](spark, sf))
+    assert made.count("posexplode(") == 2  # the patches' lines and the files'; the patches' twice before
+
+
 def test_pairs_are_given_back_in_small_batches():
     lines = pa.array([["a", "b"], ["x"]] * 500)
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), lines, pa.array([["a", "c"], ["x"]] * 500)], ["k", "before", "after"])
