@@ -53,8 +53,11 @@ SHARDS = 4
 
 RUN = {"doc": np.int64, "tag": np.uint32, "pos": np.uint32, "num": np.uint32, "anchor": np.uint32, "ctx_a": np.uint32, "ctx_b": np.uint16}
 MARK = {"doc": np.int64, "tag": np.uint32, "pos": np.uint32, "num": np.uint32}
-#: Marks, and contexts that are asked for: bucket of the anchor and whether it is hot.
+#: Contexts that are asked for: bucket of the anchor and whether it is hot.
 ASK = MARK | {"anchor": np.uint32, "bucket": np.uint32, "hot": np.uint8}
+#: Fields that are packed as differences: entries are sorted by them.
+STEPS = ("doc", "tag")
+CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def _mix(x: np.ndarray, by: int) -> np.ndarray:
@@ -135,23 +138,63 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
             yield i, j, x, part, np.array([0, len(part)])
 
 
-# ---- packed rows: a key, a kind, and a binary column for each field
+# ---- packed rows: a key, a kind, how many entries, and their fields
 
 
-def _packed(schema: dict, key: int, kind: int, fields: dict[str, np.ndarray]) -> dict:
-    return {"key": key, "kind": kind} | {c: fields[c].astype(t, copy=False).tobytes() for c, t in schema.items()}
+PACKED = "key int, kind int, n int, fields binary"
+PACKED_ARROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("fields", pa.binary())])
 
 
-def _unpacked(rows: pa.Table, schema: dict) -> dict[str, np.ndarray]:
-    return {c: np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in schema.items()}
+def _planes(schema: dict, n: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Bytes of an entry; for rows of n entries, where each entry's first byte lies and how far its next one is."""
+    width = sum(np.dtype(t).itemsize for t in schema.values())
+    return width, np.repeat((np.cumsum(n) - n) * (width - 1), n) + np.arange(int(n.sum())), np.repeat(n, n)
+
 
+def _packed(schema: dict, kind: int, key: np.ndarray, fields: dict[str, np.ndarray]) -> list[dict]:
+    """A row for each key. First bytes of all its entries' values lie together, then second ones, and so on, so that what varies little takes little room."""
+    if not len(key):
+        return []
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n = np.diff(np.append(first, len(key)))
+    width, place, step = _planes(schema, n)
+    raw = np.empty(len(key) * width, np.uint8)
+    for c, t in schema.items():
+        v = fields[c].astype(t, copy=False)[order]
+        if c in STEPS:
+            whole, v = v, v.copy()
+            v[1:] -= whole[:-1]
+            v[first] = whole[first]
+        for plane in v.view(np.uint8).reshape(len(key), -1).T:
+            raw[place] = plane
+            place += step
+    ends = ((first + n) * width).tolist()
+    return [{"key": k, "kind": kind, "n": m, "fields": CODEC.compress(raw[end - m * width : end], asbytes=True)} for k, m, end in zip(key[first].tolist(), n.tolist(), ends)]
 
-def _kinds(schema: dict) -> str:
-    return "key int, kind int, " + ", ".join(f"{c} binary" for c in schema)
 
+def _unpacked(rows: pa.Table, schema: dict) -> dict[str, np.ndarray]:
+    n = rows.column("n").to_numpy().astype(np.int64)
+    width, place, step = _planes(schema, n)
+    raw = np.frombuffer(b"".join(CODEC.decompress(x, m * width, asbytes=True) for x, m in zip(rows.column("fields").to_pylist(), n.tolist())), np.uint8)
+    first, out = np.cumsum(n) - n, {}
+    for c, t in schema.items():
+        v = np.empty((len(place), np.dtype(t).itemsize), np.uint8)
+        for k in range(v.shape[1]):
+            v[:, k] = raw[place]
+            place += step
+        v = v.view(t).reshape(-1)
+        if c in STEPS:
+            total = np.cumsum(v, dtype=t)
+            v = total - np.repeat(total[first] - v[first], n)
+        out[c] = v
+    return out
 
-def _arrow(schema: dict) -> pa.Schema:
-    return pa.schema([("key", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in schema)])
+
+def _sorted(fields: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    order = np.lexsort((fields["pos"], fields["tag"], fields["doc"]))
+    return {c: v[order] for c, v in fields.items()}
 
 
 def _by(key: np.ndarray, fields: dict[str, np.ndarray]) -> Iterator[tuple[int, dict]]:
@@ -195,30 +238,25 @@ def _hot_anchors(source: DataFrame, length: int) -> np.ndarray:
 
 def _local_runs(source: DataFrame, buckets: int, groups: int, length: int) -> DataFrame:
     """Runs by anchor bucket (kind 0), each once a batch for the least doc of the batch; marks of the others (kind 1)."""
-    schema, hot = _arrow(RUN), _hot_anchors(source, length)
+    hot = _hot_anchors(source, length)
 
     def emit(held: list[dict]) -> pa.RecordBatch:
         f = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-        order = np.lexsort((f["pos"], f["doc"], f["ctx"], f["anchor"]))
-        f = {c: v[order] for c, v in f.items()}
+        f = _sorted(f)
+        order = np.lexsort((f["doc"], f["ctx"], f["anchor"]))
+        ctx, anchor, doc = f["ctx"][order], f["anchor"][order], f["doc"][order]
         same = np.zeros(len(order), bool)
-        same[1:] = (f["ctx"][1:] == f["ctx"][:-1]) & (f["anchor"][1:] == f["anchor"][:-1])
+        same[1:] = (ctx[1:] == ctx[:-1]) & (anchor[1:] == anchor[:-1])
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        later = f["doc"] > f["doc"][head]
-        rows = []
-        blank = {"anchor": np.zeros(0), "ctx_a": np.zeros(0), "ctx_b": np.zeros(0)}
-        gone = {c: f[c][later] for c in ("doc", "tag", "pos", "num")}
-        for g, part in _by(_group_of(gone["doc"], gone["tag"], groups), gone):
-            order = np.lexsort((part["pos"], part["doc"]))
-            rows.append(_packed(RUN, g, 1, {c: v[order] for c, v in part.items()} | blank))
+        later = np.zeros(len(order), bool)
+        later[order] = doc > doc[head]
+        gone = {c: f[c][later] for c in MARK}
+        rows = _packed(MARK, 1, _group_of(gone["doc"], gone["tag"], groups), gone)
         keep = {c: v[~later] for c, v in f.items()}
         bucket = ((keep["anchor"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         keep |= {"ctx_a": keep["ctx"] >> np.uint64(32), "ctx_b": keep["ctx"] & np.uint64(0xFFFF), "anchor": keep["anchor"] & np.uint64(0xFFFFFFFF)}
-        del keep["ctx"]
-        for b, part in _by(bucket, keep):
-            order = np.lexsort((part["pos"], part["doc"]))  # in order, so that ids and places compress
-            rows.append(_packed(RUN, b, 0, {c: v[order] for c, v in part.items()}))
-        return pa.RecordBatch.from_pylist(rows, schema)
+        del f, keep["ctx"], order, ctx, anchor, doc, same, head
+        return pa.RecordBatch.from_pylist(rows + _packed(RUN, 0, bucket, keep), PACKED_ARROW)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -238,19 +276,15 @@ def _local_runs(source: DataFrame, buckets: int, groups: int, length: int) -> Da
             yield emit(held)
         release()
 
-    return source.where("_doc is not null").select("_doc", "_tag", "text").mapInArrow(work, _kinds(RUN))
+    return source.where("_doc is not null").select("_doc", "_tag", "text").mapInArrow(work, PACKED)
 
 
 def _decide(runs: DataFrame, groups: int) -> DataFrame:
     """By anchor bucket: marks of runs that a smaller doc has (kind 1), and contexts asked for (kind 2), both by group of docs."""
-    schema = _arrow(ASK)
 
     def work(rows: pa.Table) -> pa.Table:
         key, out = rows.column("key")[0].as_py(), []
-        done = rows.filter(pa.compute.equal(rows.column("kind"), 1))
-        blank = {"anchor": np.zeros(0), "bucket": np.zeros(0), "hot": np.zeros(0)}
-        for r in done.select(["key", *MARK]).to_pylist():
-            out.append(r | {"kind": 1, "anchor": b"", "bucket": b"", "hot": b""})
+        done = rows.filter(pa.compute.equal(rows.column("kind"), 1)).select(PACKED_ARROW.names).cast(PACKED_ARROW)
         f = _unpacked(rows.filter(pa.compute.equal(rows.column("kind"), 0)), RUN)
         if len(f["doc"]):
             ctx = f.pop("ctx_a").astype(np.uint64) << np.uint64(16) | f.pop("ctx_b").astype(np.uint64)
@@ -263,8 +297,8 @@ def _decide(runs: DataFrame, groups: int) -> DataFrame:
             new_ctx[1:] |= ctx[1:] != ctx[:-1]
             head = np.maximum.accumulate(np.where(new_ctx, np.arange(n), 0))
             later = f["doc"] > f["doc"][head]
-            for g, part in _by(_group_of(f["doc"][later], f["tag"][later], groups), {c: f[c][later] for c in MARK}):
-                out.append(_packed(ASK, g, 1, part | blank))
+            gone = _sorted({c: f[c][later] for c in MARK})
+            out += _packed(MARK, 1, _group_of(gone["doc"], gone["tag"], groups), gone)
             which = np.cumsum(new_anchor) - 1
             contexts = np.bincount(which, weights=new_ctx)
             first = np.flatnonzero(new_anchor)
@@ -272,16 +306,16 @@ def _decide(runs: DataFrame, groups: int) -> DataFrame:
             ask = ((contexts > 1) & (low < high))[which] & ~later
             more = {c: f[c][ask] for c in (*MARK, "anchor")} | {"hot": (contexts > HOT)[which][ask].astype(np.uint8)}
             more["bucket"] = np.full(int(ask.sum()), key, np.uint32)
-            for g, part in _by(_group_of(more["doc"], more["tag"], groups), more):
-                out.append(_packed(ASK, g, 2, part))
-            del f, ctx, order, head, later, which, ask, more
-        made = pa.Table.from_pylist(out, schema)
+            more = _sorted(more)
+            out += _packed(ASK, 2, _group_of(more["doc"], more["tag"], groups), more)
+            del f, ctx, order, head, later, which, ask, gone, more
+        made = pa.concat_tables([done, pa.Table.from_pylist(out, PACKED_ARROW)])
         del out, done, rows
         release()
         return made
 
     # Marks pass through any bucket's task.
-    return runs.groupBy("key").applyInArrow(work, _kinds(ASK))
+    return runs.groupBy("key").applyInArrow(work, PACKED)
 
 
 def _rows_of(texts: pa.Table, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,12 +333,9 @@ def _rows_of(texts: pa.Table, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndar
     return mine.reshape(-1), number[code[len(unique) :]]
 
 
-CONTEXT = MARK | {"size": np.uint32, "body": np.uint8}
-
-
 def _contexts(source: DataFrame, asks: DataFrame, tasks: int, length: int) -> DataFrame:
     """The asked contexts' bytes, by anchor (a hot anchor's by window)."""
-    schema = _arrow(CONTEXT)
+    schema = PACKED_ARROW.append(pa.field("body", pa.binary()))
 
     def work(texts: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
@@ -331,12 +362,12 @@ def _contexts(source: DataFrame, asks: DataFrame, tasks: int, length: int) -> Da
             size = num + length - 1
             target = (_mix(key.view(np.uint64), 0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % tasks
             for t, part in _by(target, {"doc": f["doc"], "tag": f["tag"], "pos": pos, "num": num, "size": size, "begin": begin}):
-                body = b"".join(data[b : b + s].tobytes() for b, s in zip(part.pop("begin").tolist(), part["size"].tolist()))
-                out.append(_packed(CONTEXT, t, 0, part | {"body": np.frombuffer(body, np.uint8)}))
+                body = b"".join(data[b : b + s].tobytes() for b, s in zip(part["begin"].tolist(), part["size"].tolist()))
+                out += [r | {"body": body} for r in _packed(MARK, 0, np.full(len(part["doc"]), t), part)]
         return pa.Table.from_pylist(out, schema)
 
     left = source.select("_doc", "_tag", "text", "_group").groupBy("_group")
-    return left.cogroup(asks.select("key", "kind", *ASK).groupBy("key")).applyInArrow(work, _kinds(CONTEXT))
+    return left.cogroup(asks.groupBy("key")).applyInArrow(work, PACKED + ", body binary")
 
 
 def repeated_starts(parts: list[tuple[np.ndarray, np.ndarray]], doc: list[np.ndarray], num: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,18 +388,17 @@ def repeated_starts(parts: list[tuple[np.ndarray, np.ndarray]], doc: list[np.nda
 
 def _resolve(contexts: DataFrame, groups: int, length: int) -> DataFrame:
     """Marks of repeated windows from the merged transforms of each group of anchors."""
-    schema = _arrow(MARK)
 
     def work(rows: pa.Table) -> pa.Table:
-        f = _unpacked(rows, CONTEXT)
+        f = _unpacked(rows, MARK)
         n, out = len(f["doc"]), []
         if not n:
-            return pa.Table.from_pylist(out, schema)
-        ends = np.cumsum(f["size"].astype(np.int64))
-        offsets = np.concatenate([[0], ends])
+            return pa.Table.from_pylist(out, PACKED_ARROW)
+        body = np.frombuffer(b"".join(rows.column("body").to_pylist()), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(f["num"].astype(np.int64) + length - 1)])
         cuts = np.unique(np.linspace(0, n, min(SHARDS, n) + 1).astype(int))
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-        parts = [(f["body"][offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in spans]
+        parts = [(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in spans]
         z, string, at = repeated_starts(parts, [f["doc"][a:b] for a, b in spans], [f["num"][a:b] for a, b in spans], length)
         i = np.array([a for a, _ in spans])[z] + string
         order = np.lexsort((at, i))
@@ -379,11 +409,11 @@ def _resolve(contexts: DataFrame, groups: int, length: int) -> DataFrame:
             first = np.flatnonzero(new)
             num = np.diff(np.append(first, len(i)))
             i, at = i[first], at[first]
-            for g, part in _by(_group_of(f["doc"][i], f["tag"][i], groups), {"doc": f["doc"][i], "tag": f["tag"][i], "pos": f["pos"][i] + at, "num": num}):
-                out.append(_packed(MARK, g, 1, part))
-        return pa.Table.from_pylist(out, schema)
+            gone = _sorted({"doc": f["doc"][i], "tag": f["tag"][i], "pos": f["pos"][i] + at, "num": num})
+            out = _packed(MARK, 1, _group_of(gone["doc"], gone["tag"], groups), gone)
+        return pa.Table.from_pylist(out, PACKED_ARROW)
 
-    return contexts.groupBy("key").applyInArrow(work, _kinds(MARK))
+    return contexts.groupBy("key").applyInArrow(work, PACKED)
 
 
 def covered(offsets: np.ndarray, row: np.ndarray, pos: np.ndarray, num: np.ndarray, length: int) -> np.ndarray:
@@ -416,7 +446,7 @@ def _cut(source: DataFrame, marks: DataFrame, length: int, out_schema, finish) -
             removed = covered(offsets, text, pos[at], num[at], length)
         return finish(texts, data, offsets, removed)
 
-    return source.groupBy("_group").cogroup(marks.select("key", "kind", *MARK).groupBy("key")).applyInArrow(work, out_schema)
+    return source.groupBy("_group").cogroup(marks.groupBy("key")).applyInArrow(work, out_schema)
 
 
 def marks_of(source: DataFrame, total: int, groups: int, length: int) -> DataFrame:
@@ -424,10 +454,10 @@ def marks_of(source: DataFrame, total: int, groups: int, length: int) -> DataFra
     buckets = max(8, total // BUCKET_BYTES)
     decided = stage(_decide(_local_runs(source, buckets, groups, length), groups), "decided")
     asks = decided.where("kind = 2")
-    asked = asks.agg(F.sum(F.octet_length("pos"))).first()[0] or 0  # 4 bytes each
-    tasks = max(8, asked // 4 * (length + 18) // CONTEXT_BYTES)
+    asked = asks.agg(F.sum("n")).first()[0] or 0
+    tasks = max(8, asked * (length + 18) // CONTEXT_BYTES)
     found = stage(_resolve(_contexts(source, asks, int(tasks), length), groups, length), "found")
-    return decided.where("kind = 1").select("key", "kind", *MARK).unionByName(found)
+    return decided.where("kind = 1").unionByName(found)
 
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, int, int]:
