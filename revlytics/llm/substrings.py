@@ -7,7 +7,8 @@ Sorting all suffixes of a corpus in numpy is out of reach, so the transforms are
    whole context. Equal runs are collapsed to the document of least id, first within a batch of texts,
    then by anchor over all texts: later documents lose the whole run.
 2. Anchors that remain with several contexts, of several documents, are where matches begin or end.
-   Their contexts are fetched, grouped by anchor, sorted as shards, and the shards' Burrows-Wheeler
+   Their contexts are fetched and grouped by anchor; those that share too few bytes beside it with any other are left out,
+   exactly (may_match). The rest are sorted as shards, and the shards' Burrows-Wheeler
    transforms are merged by interleave refinement (`bwt.merge`). Blocks that share `length` bytes are the
    repeated intervals; all but those of least id are marked. Anchors with very many contexts are
    dealt out window by window instead: those that a sample shows (HOT_SAMPLE) already in step 1, where a window takes the place
@@ -370,6 +371,28 @@ def _contexts(source: DataFrame, asks: DataFrame, tasks: int, length: int) -> Da
     return left.cogroup(asks.groupBy("key")).applyInArrow(work, PACKED + ", body binary")
 
 
+def may_match(body: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Which contexts can share a window with one of another doc: those that share the anchor and half of a window's other bytes before it or after it.
+
+    A shared window has its anchor at one place in both, and at least that half of its other bytes on one side. So no match is lost.
+    """
+    h, half, keep = _Hash(body), (length - gram + 1) // 2, np.zeros(len(doc), bool)
+    low, high = offsets[:-1], offsets[1:]
+    at = low[:, None] + np.arange(length - gram + 1)
+    anchor = low + np.argmin(_mix(h.of(at, at + gram), 0xBF58476D1CE4E5B9) >> np.uint64(32), axis=1)  # of the first window; runs_of has the same
+    for begin, end in ((anchor - half, anchor + gram), (anchor, anchor + gram + half)):
+        i = np.flatnonzero((begin >= low) & (end <= high))
+        if not len(i):
+            continue
+        key = h.of(begin[i], end[i])
+        order = np.argsort(key)
+        i, key = i[order], key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        several = np.minimum.reduceat(doc[i], first) < np.maximum.reduceat(doc[i], first)
+        keep[i] |= np.repeat(several, np.diff(np.append(first, len(i))))
+    return keep
+
+
 def repeated_starts(parts: list[tuple[np.ndarray, np.ndarray]], doc: list[np.ndarray], num: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shards of strings, their docs and how many starts of each count: shard, string and start of windows that a smaller doc has too."""
     z, string, at, block = merge([Shard(data, offsets) for data, offsets in parts], length)
@@ -390,12 +413,15 @@ def _resolve(contexts: DataFrame, groups: int, length: int) -> DataFrame:
     """Marks of repeated windows from the merged transforms of each group of anchors."""
 
     def work(rows: pa.Table) -> pa.Table:
-        f = _unpacked(rows, MARK)
-        n, out = len(f["doc"]), []
-        if not n:
-            return pa.Table.from_pylist(out, PACKED_ARROW)
+        f, out = _unpacked(rows, MARK), []
         body = np.frombuffer(b"".join(rows.column("body").to_pylist()), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum(f["num"].astype(np.int64) + length - 1)])
+        size = f["num"].astype(np.int64) + length - 1
+        keep = may_match(body, np.concatenate([[0], np.cumsum(size)]), f["doc"], length)
+        body, size, f = body[np.repeat(keep, size)], size[keep], {c: v[keep] for c, v in f.items()}
+        n = len(size)
+        if not n:
+            return PACKED_ARROW.empty_table()
+        offsets = np.concatenate([[0], np.cumsum(size)])
         cuts = np.unique(np.linspace(0, n, min(SHARDS, n) + 1).astype(int))
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
         parts = [(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in spans]

@@ -54,3 +54,23 @@ def test_packed_fields_come_back(spark):
     none = {c: np.zeros(0) for c in substrings.MARK}
     assert substrings._packed(substrings.MARK, 1, np.zeros(0, np.int64), none) == []
     assert all(len(x) == 0 for x in substrings._unpacked(substrings.PACKED_ARROW.empty_table(), substrings.MARK).values())
+
+
+def test_contexts_that_cannot_match_are_left_out_and_no_other(spark):
+    rng, length = np.random.default_rng(7), substrings.LENGTH
+    pieces = ["".join(map(chr, rng.integers(97, 101, k))) for k in rng.integers(15, 70, 40)]
+    texts = ["".join(pieces[k] for k in rng.integers(0, 40, 12)) for _ in range(60)]
+    data, offsets = utf8(pa.array(texts))
+    r = substrings.runs_of(data, offsets)
+    body = [texts[a][p : p + k + length - 1] for a, p, k in zip(r["row"].tolist(), r["pos"].tolist(), r["num"].tolist())]
+    joined, ends = utf8(pa.array(body))
+    keep = substrings.may_match(joined, ends, r["row"])
+    whose, same_anchor = {}, {}
+    for text, doc, anchor in zip(body, r["row"].tolist(), r["anchor"].tolist()):
+        same_anchor.setdefault(anchor, set()).add(doc)
+        for k in range(len(text) - length + 1):
+            whose.setdefault(text[k : k + length], set()).add(doc)
+    must = [any(len(whose[t[k : k + length]]) > 1 for k in range(len(t) - length + 1)) for t in body]
+    asked = sum(len(same_anchor[a]) > 1 for a in r["anchor"].tolist())
+    assert all(k for k, m in zip(keep.tolist(), must) if m)
+    assert sum(must) < keep.sum() < asked
