@@ -266,7 +266,10 @@ def links(distinct: DataFrame, radius: int, scheme) -> DataFrame:
     for level in range(scheme.levels):
         rows = stage(_keyed(rows, scheme, level), "keys")
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        sized = rows.join(counts, "key")
+        # Written first: right after a join on the key Spark drops the repartition below as met already, and where adaptive execution
+        # then broadcasts the counts, it reads rows by the task that made them, so that a bucket's rows lie in several tasks.
+        sized = stage(rows.join(counts, "key"), "sized")
+        discard(rows)
         last = level == scheme.levels - 1
         # Large buckets: one more cut, or at last every pair of their sub-blocks.
         wide = sized.where(F.col("n") > BUCKET)

@@ -139,6 +139,35 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
                 assert mine[i] == mine[j]
 
 
+def test_links_where_adaptive_execution_broadcasts_the_counts(spark):
+    # As with large tables: planned as a sort-merge join on the bucket's key, turned into a broadcast join while running. A bucket's rows must still meet.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "50k", "spark.sql.sources.fileCompressionFactor": "1000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 2, dtype=np.uint64)
+    words = np.unique(np.array([int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for b in base for _ in range(400)], np.uint64))
+    df = spark.createDataFrame([(bytearray(w.tobytes()),) for w in words], "fp binary").repartition(4)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = rows(simhash.links(df, 4, simhash.Blocks(64, 4)))
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    root = {w.tobytes(): w.tobytes() for w in words}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        x, y = find(bytes(r["a"])), find(bytes(r["b"]))
+        root[max(x, y)] = min(x, y)
+    mine = [find(w.tobytes()) for w in words]
+    near = np.argwhere(np.bitwise_count(words[:, None] ^ words[None, :]) <= 4).tolist()
+    assert sum(mine[i] != mine[j] for i, j in near) == 0
+
+
 def test_simhash_nasty(nasty, none):
     got = rows(simhash.near_duplicates(nasty))
     group = defaultdict(set)
